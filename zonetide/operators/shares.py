@@ -50,18 +50,17 @@ def with_tiers(probes: DataFrame, companies: DataFrame, ranks: DataFrame) -> Dat
     return joined.withColumn("tiers", tiers).drop("_c", "_r")
 
 
+def _in_category(keys: Column, category: str) -> Column:
+    return F.transform(keys, lambda k: F.struct(F.lit(category).alias("category"), k.alias("provider_key")))
+
+
 def _detected(columns: dict[str, tuple[str, bool]]) -> Column:
     """Array of (category, provider_key) found on one probe row, each provider once."""
     found = []
     for name, (category, is_list) in columns.items():
         keys = provider_list(name) if is_list else F.array_compact(F.array(F.nullif(F.col(name), F.lit(""))))
         keys = F.coalesce(keys, F.array().cast("array<string>"))
-        found.append(
-            F.transform(
-                keys,
-                lambda k, category=category: F.struct(F.lit(category).alias("category"), k.alias("provider_key")),
-            )
-        )
+        found.append(_in_category(keys, category))
     return F.concat(*found) if len(found) > 1 else found[0]
 
 

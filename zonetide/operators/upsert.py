@@ -35,8 +35,13 @@ class MergePolicy:
     number_keys: tuple[str, ...] = ()
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {"string": T.StringType(), "bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
+
+
+def _schema(columns: str) -> T.StructType:
+    """Struct of ``name type, ...`` without needing a session, as ``fromDDL`` would."""
+    pairs = [c.split() for c in columns.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 _PROBE_ATTRIBUTES = _schema(

@@ -14,11 +14,16 @@ def rdap_endpoints(documents: DataFrame, column: str = "value") -> DataFrame:
 
     A TLD named by several services keeps the endpoints of the last one.
     """
-    services = F.from_json(F.col(column), "struct<services array<array<array<string>>>>").services
+    strings = "array<string>"
+    # Opened level by level: an entry of another shape drops out without spoiling the rest.
+    services = F.from_json(F.col(column), f"struct<services {strings}>").services
     flat = (
         documents.select(F.posexplode(services).alias("service", "entry"))
+        .select("service", F.from_json("entry", strings).alias("entry"))
         .filter(F.size("entry") >= 2)
-        .select("service", F.explode(F.col("entry")[0]).alias("tld"), F.col("entry")[1].alias("urls"))
+        .select("service", *[F.from_json(F.col("entry")[i], strings).alias(n) for i, n in enumerate(["tlds", "urls"])])
+        .filter(F.col("urls").isNotNull())
+        .select("service", F.explode("tlds").alias("tld"), "urls")
         .filter(F.col("tld").isNotNull())
         .groupBy(F.lower("tld").alias("tld"))
         .agg(F.max_by("urls", "service").alias("urls"))
