@@ -63,11 +63,11 @@ def test_classify_tld(spark, tld, kind, place):
 
 
 @pytest.mark.parametrize(
-    "word, kept",
-    [("tree", True), ("don't", False), ("abcdefghijk", False), ("abcdefghij", True), ("café", True), ("a1", False), ("", False), ("a\n", False)],
+    "line, word",
+    [(" Tree\t", "tree"), ("İ", ""), ("\u00a0caf\u00c9\u2003", "café"), ("two words", ""), ("abcdefghijk", ""), ("", ""), ("\x1cab\x1f", "ab"), ("don't", ""), ("abcdefghij", "abcdefghij"), ("a1", ""), ("tree", "tree")],
 )
-def test_is_word(spark, word, kept):
-    assert one(spark, text.is_word, word) is kept
+def test_as_word(spark, line, word):
+    assert one(spark, text.as_word, line) == word
 
 
 @pytest.mark.parametrize(

@@ -9,11 +9,14 @@ from pyspark.sql import Column, functions as F
 
 from .fixed import MAX_LENGTH
 
-# All Unicode white space, plus the four ASCII separators.
+# All Unicode white space, plus the four ASCII separators: as trim characters and as a
+# pattern. Trimming is no regex; splitting is faster with this class than with the list.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 _SPACE = r"[\s\x1c-\x1f]"
-_EDGES = rf"(?U)^{_SPACE}+|{_SPACE}+\z"
 SPACES = rf"(?U){_SPACE}+"
-VISIBLE = r"(?U)[^\s\x1c-\x1f]"
 
 
 def col(value: Column | str) -> Column:
@@ -22,11 +25,11 @@ def col(value: Column | str) -> Column:
 
 def strip(value: Column | str) -> Column:
     """Remove white space of any kind at both ends (``trim`` removes blanks only)."""
-    return F.regexp_replace(col(value), _EDGES, "")
+    return F.trim(col(value), F.lit(WHITE_SPACE))
 
 
 def is_blank(value: Column | str) -> Column:
-    return ~F.coalesce(col(value), F.lit("")).rlike(VISIBLE)
+    return F.coalesce(F.ltrim(col(value), F.lit(WHITE_SPACE)), F.lit("")) == ""
 
 
 def contains_any(value: Column | str, phrases: Iterable[str]) -> Column:
@@ -61,10 +64,14 @@ def domain_tld(domain: Column | str) -> Column:
     return F.lower(F.substring_index(col(domain), ".", -1))
 
 
-def is_word(word: Column | str, max_length: int = MAX_LENGTH) -> Column:
-    """Letters of any script only, at most ``max_length`` of them (no blanks: one at least)."""
-    word = col(word)
-    return (F.length(word) <= max_length) & word.rlike(r"^\p{L}+\z")
+def as_word(line: Column | str, max_length: int = MAX_LENGTH) -> Column:
+    """The word a line holds, trimmed and in lower case; empty if it holds none.
+
+    Lower case comes first, as it can turn a letter into a letter and a mark. One match does
+    the trimming and both checks.
+    """
+    pattern = rf"(?U)^{_SPACE}*(\p{{L}}{{1,{max_length}}}){_SPACE}*\z"
+    return F.regexp_extract(F.lower(col(line)), pattern, 1)
 
 
 def report_tld(value: Column | str) -> Column:
@@ -79,5 +86,5 @@ def or_default(value: Column | str, default: str) -> Column:
 
 def provider_list(csv: Column | str) -> Column:
     """Distinct, non-blank entries of a comma-separated text, each counted once."""
-    parts = F.transform(F.split(col(csv), ","), lambda p: F.lower(strip(p)))
-    return F.array_distinct(F.filter(parts, lambda p: p != ""))
+    tidy = F.regexp_replace(F.lower(strip(csv)), rf"(?U){_SPACE}*,{_SPACE}*", ",")
+    return F.array_remove(F.array_distinct(F.split(tidy, ",")), "")

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.fixed import MAX_LENGTH, PARTS_OF_SPEECH
-from ..functions.text import is_word, strip
+from ..functions.text import as_word
 
 
 def clean_words(lines: DataFrame, column: str = "word", max_length: int = MAX_LENGTH) -> DataFrame:
     """Distinct (pos, word): trimmed, lower-case, letters only, short enough."""
-    word = F.lower(strip(column))
-    return lines.select("pos", word.alias("word")).filter(is_word("word", max_length)).distinct()
+    words = lines.select("pos", as_word(column, max_length).alias("word"))
+    return words.filter(F.col("word") != "").distinct()
 
 
 def word_union(words: DataFrame) -> DataFrame:

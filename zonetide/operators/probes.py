@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -95,11 +96,13 @@ def probe_results(resolved: DataFrame, usage: DataFrame, keys: list[str] | None
     """One row per name: registration, usage, product, label, length, TLD.
 
     Only registered names have a home page looked at; everything else keeps the defaults.
-    Both sides are keyed by name, so the grouping of ``resolve`` is reused by the join.
+    The join is on the name alone, with registration as a condition beside it, so that the
+    partitioning left by ``resolve`` serves the join as well.
     """
     keys = keys or ["domain"]
-    pages = usage.select(*keys, "usage_state", "product_state").withColumn("registered", F.lit(True))
-    joined = resolved.join(pages, [*keys, "registered"], "left")
+    pages = usage.select(*[F.col(k).alias(f"_{k}") for k in keys], "usage_state", "product_state")
+    same = reduce(lambda a, k: a & (F.col(k) == F.col(f"_{k}")), keys, F.col("registered"))
+    joined = resolved.join(pages, same, "left").drop(*[f"_{k}" for k in keys])
     return with_label(
         joined.withColumns(
             {

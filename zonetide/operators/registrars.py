@@ -12,20 +12,24 @@ _MEASURES = ["net_adds", "domains_under_mgmt"]
 def market_share(monthly: DataFrame, registrars: DataFrame | None = None) -> DataFrame:
     """Share of net adds and of names managed per (month, TLD), and growth on the month before.
 
-    Windows run over report rows, one per registrar, so a group is as long as the list of
-    registrars (shares) or of months (growth). A zero total or a missing month gives null.
+    Totals are grouped (and fold map-side) and joined back, so a TLD with most of the rows is
+    never one task's window; the only window is over the months of one registrar and TLD. A
+    zero total or a missing month gives null.
     """
-    market = Window.partitionBy("report_month", "tld")
+    market = ["report_month", "tld"]
+    totals = monthly.groupBy(*market).agg(*[F.sum(m).alias(f"_{m}") for m in _MEASURES])
     history = Window.partitionBy("iana_id", "tld").orderBy("report_month")
     shares = {}
     for name in _MEASURES:
-        total = F.sum(name).over(market)
+        total = F.col(f"_{name}")
         shares[f"{name}_share"] = F.when(total != 0, F.col(name) / total)
     before = F.lag(F.struct("report_month", "domains_under_mgmt")).over(history)
     adjacent = F.col("_b.report_month") == previous_month("report_month")
     out = (
         monthly.select("report_month", "iana_id", "tld", *_MEASURES)
+        .join(totals, market)
         .withColumns(shares)
+        .drop(*[f"_{m}" for m in _MEASURES])
         .withColumn("_b", before)
         .withColumn("growth", F.when(adjacent, F.col("domains_under_mgmt") - F.col("_b.domains_under_mgmt")))
         .drop("_b")

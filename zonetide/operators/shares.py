@@ -50,39 +50,30 @@ def with_tiers(probes: DataFrame, companies: DataFrame, ranks: DataFrame) -> Dat
     return joined.withColumn("tiers", tiers).drop("_c", "_r")
 
 
-def _in_category(keys: Column, category: str) -> Column:
-    return F.transform(keys, lambda k: F.struct(F.lit(category).alias("category"), k.alias("provider_key")))
-
-
-def _detected(columns: dict[str, tuple[str, bool]]) -> Column:
-    """Array of (category, provider_key) found on one probe row, each provider once."""
-    found = []
-    for name, (category, is_list) in columns.items():
-        keys = provider_list(name) if is_list else F.array_compact(F.array(F.nullif(F.col(name), F.lit(""))))
-        keys = F.coalesce(keys, F.array().cast("array<string>"))
-        found.append(_in_category(keys, category))
-    return F.concat(*found) if len(found) > 1 else found[0]
-
-
 def provider_share(
     probes: DataFrame, columns: dict[str, tuple[str, bool]] = PROVIDER_COLUMNS
 ) -> DataFrame:
     """Count, total and share per (month, tier, category, provider).
 
     ``probes`` has one row per (snap_month, domain) with its ``tiers``. Rows are counted per
-    distinct tier list first: names are never multiplied by the tiers they are in, and the
-    denominator comes out of the same pass as an entry without a category.
+    distinct tier list and column value first: names are never multiplied by the tiers they
+    are in, comma-separated lists are taken apart once per distinct text, and the denominator
+    comes out of the same pass as an entry without a category.
     """
     present = {n: c for n, c in columns.items() if n in probes.columns}
-    marker = F.struct(F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("provider_key"))
-    entries = F.concat(F.array(marker), _detected(present))
-    per_list = (
-        probes.select("snap_month", "tiers", F.explode(entries).alias("e"))
-        .groupBy("snap_month", "tiers", "e.category", "e.provider_key")
+    entries = [F.struct(F.lit(None).cast("string").alias("category"), F.lit("").alias("value"))]
+    entries += [F.struct(F.lit(c).alias("category"), F.col(n).alias("value")) for n, (c, _) in present.items()]
+    per_value = (
+        probes.select("snap_month", "tiers", F.explode(F.array(*entries)).alias("e"))
+        .filter(F.col("e.category").isNull() | (F.col("e.value") != ""))
+        .groupBy("snap_month", "tiers", "e.category", "e.value")
         .agg(F.count("*").alias("n"))
     )
+    lists = [c for c, is_list in present.values() if is_list]
+    keys = F.when(F.col("category").isin(lists), provider_list("value")).otherwise(F.array("value"))
     counted = (
-        per_list.withColumn("tier", F.explode("tiers"))
+        per_value.withColumn("provider_key", F.explode(keys))
+        .withColumn("tier", F.explode("tiers"))
         .groupBy("snap_month", "tier", "category", "provider_key")
         .agg(F.sum("n").alias("count"))
     )

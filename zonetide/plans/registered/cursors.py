@@ -1,4 +1,4 @@
-"""Label enumeration and scan cursors. Suppliers stand for TLDs, line items for labels probed."""
+"""Label enumeration and scan cursors. Nations stand for TLDs, their orders for labels probed."""
 
 from __future__ import annotations
 
@@ -50,10 +50,9 @@ def enumerate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CURSORS_SQL = """
-  WITH n AS (SELECT l_suppkey, count(*) AS c FROM lineitem GROUP BY l_suppkey),
-  k AS (SELECT CAST(x.length AS INTEGER) AS length, s_name AS tld, s_suppkey AS tld_pos,
-          CAST(coalesce(CASE WHEN x.length = 1 + s_suppkey % 3 THEN c END, 0) AS BIGINT) AS next_index
-        FROM supplier CROSS JOIN (VALUES (1), (2), (3)) x(length) LEFT JOIN n ON l_suppkey = s_suppkey)
+  WITH n AS (SELECT c_nationkey, 1 + c_nationkey % 3 AS length, count(*) AS c FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL),
+  k AS (SELECT CAST(x.length AS INTEGER) AS length, n_name AS tld, n_nationkey AS tld_pos, CAST(coalesce(c, 0) AS BIGINT) AS next_index
+        FROM nation CROSS JOIN (VALUES (1), (2), (3)) x(length) LEFT JOIN n ON c_nationkey = n_nationkey AND n.length = x.length)
 """
 _BATCH_SQL = f"""
   , cand AS (SELECT length, tld, tld_pos, unnest(range(next_index, least(next_index + {BATCH}, CAST(pow(36, length) AS BIGINT)))) AS idx FROM k),
@@ -62,14 +61,18 @@ _BATCH_SQL = f"""
 
 
 def synced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cursors at three lengths; each supplier has been scanned at one of them."""
-    items = table(spark, sf_dir, "lineitem")
-    suppliers = table(spark, sf_dir, "supplier")
-    counted = items.groupBy("l_suppkey").agg(F.count("*").alias("next_index"))
-    stored = counted.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).select(
-        (1 + F.col("s_suppkey") % 3).alias("length"), F.col("s_name").alias("tld"), "next_index"
+    """Cursors at three lengths; each nation has been scanned at one of them."""
+    nations = table(spark, sf_dir, "nation")
+    per_customer = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    counted = (
+        per_customer.join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
+        .groupBy(F.col("c_nationkey").alias("n_nationkey"))
+        .agg(F.sum("n").alias("next_index"))
     )
-    tlds = suppliers.select(F.col("s_name").alias("tld"), F.col("s_suppkey").alias("tld_pos"))
+    stored = counted.join(nations, "n_nationkey").select(
+        (1 + F.col("n_nationkey") % 3).alias("length"), F.col("n_name").alias("tld"), "next_index"
+    )
+    tlds = nations.select(F.col("n_name").alias("tld"), F.col("n_nationkey").alias("tld_pos"))
     return candidates.sync_cursors(stored, tlds, [1, 2, 3])
 
 

@@ -274,7 +274,9 @@ def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("first_year_cents"),
         F.concat(
             F.substring(F.col("l_shipdate").cast("string"), 1, 10),
-            F.format_string(" %015d-%015d-%d", "l_orderkey", "l_partkey", "l_linenumber"),
+            *[part for k, n in (("l_orderkey", 15), ("l_partkey", 15)) for part in (F.lit(" " if k == "l_orderkey" else "-"), F.lpad(F.col(k).cast("string"), n, "0"))],
+            F.lit("-"),
+            F.col("l_linenumber").cast("string"),
         ).alias("last_verified_at"),
     )
 

@@ -64,10 +64,13 @@ def apply_uploads(lines: DataFrame, path: str, checkpoint: str, available_now: b
     def step(batch: DataFrame, epoch: int) -> None:
         arrival = ["_at", "_file", "_block", "_row"]
         documents = parse_uploads(batch.withColumn("_row", F.monotonically_increasing_id())).filter("valid")
+        # Opened once per micro-batch; the plan below reads the documents several times.
+        documents.persist()
         fresh = first_of_each_id(documents, arrival).drop("valid", *arrival)
         applied = ledger.read(batch.sparkSession, path).filter(F.col("epoch") != epoch)
         stamped = not_yet_applied(fresh, applied).withColumn("applied_at", F.current_timestamp())
         ledger.append(stamped, path, epoch)
+        documents.unpersist()
 
     if not _exists(spark, path):
         ledger.create(spark, path, LEDGER)
