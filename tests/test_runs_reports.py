@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from zonetide.operators import aggregates, runs
-from zonetide.plans import reports
+from zonetide.operators.upsert import POLICIES
+from zonetide.plans import ledger, reports
 
 EVENT = "seq bigint, ts string, run_id string, event string, status string, domains_processed string, errors_count string, source string, notes string"
 
@@ -93,6 +95,22 @@ def test_overview(spark):
     assert empty.lengths.count() == empty.tld_lengths.count() == empty.words.count() == 0
 
 
+def test_latest_month_reads_one_partition(spark, tmp_path):
+    policy = POLICIES["provider_share_monthly"]
+    path = str(tmp_path / "shares")
+    january, february = (
+        spark.createDataFrame([(m, "all", "ns", "x", n, 10, n / 10, None, None)], SHARES) for m, n in (("2026-01", 3), ("2026-02", 4))
+    )
+    ledger.store_by_month(january.unionByName(february), path)
+    ledger.store_by_month(january.withColumn("count", F.lit(9).cast("bigint")), path)
+    stored = ledger.read_by_month(spark, path, policy)
+    assert rows(stored.select("snap_month", "count")) == [("2026-01", 9), ("2026-02", 4)]
+    latest = reports.provider_latest(stored)
+    assert rows(latest.select("snap_month", "count")) == [("2026-02", 4)]
+    plan = latest._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(snap_month" in plan and "subquery" in plan.lower()
+
+
 SHARES = "snap_month string, tier string, category string, provider_key string, count bigint, total bigint, share double, delta_count bigint, delta_share double"
 
 

@@ -20,16 +20,25 @@ def word_union(words: DataFrame) -> DataFrame:
 
 
 def pos_index(words: DataFrame) -> DataFrame:
-    """The first list that has a word claims it: noun, verb, adj, adv."""
-    order = F.array_position(F.array(*[F.lit(p) for p in PARTS_OF_SPEECH]), F.col("pos"))
-    return words.groupBy("word").agg(F.min_by("pos", F.when(order > 0, order)).alias("pos"))
+    """The first list that has a word claims it: noun, verb, adj, adv.
+
+    Lists are compared by number and named afterwards: a fixed-width minimum aggregates in a
+    hash map, a text one would be sorted for.
+    """
+    lists = F.array(*[F.lit(p) for p in PARTS_OF_SPEECH])
+    number = F.nullif(F.array_position(lists, F.col("pos")).cast("int"), F.lit(0))
+    first = words.groupBy("word").agg(F.min(number).alias("_n"))
+    return first.select("word", F.get(lists, F.col("_n") - 1).alias("pos"))
 
 
 def word_counts(words: DataFrame) -> DataFrame:
     """Words per list, and of their union as ``all``.
 
-    The lists are folded to one row per word first; no distinct count is needed after that.
+    Each word is folded to one row of membership flags; the counts are sums over those.
     """
-    lists = words.groupBy("word").agg(F.collect_set("pos").alias("lists"))
-    tagged = lists.select(F.explode(F.array_append("lists", F.lit("all"))).alias("pos"))
-    return tagged.groupBy("pos").agg(F.count("*").alias("words"))
+    member = [F.max((F.col("pos") == p).cast("int")).alias(p) for p in PARTS_OF_SPEECH]
+    totals = words.groupBy("word").agg(*member).agg(
+        F.count("*").alias("all"), *[F.sum(p).alias(p) for p in PARTS_OF_SPEECH]
+    )
+    names = [*PARTS_OF_SPEECH, "all"]
+    return totals.unpivot([], names, "pos", "words").filter(F.col("words") > 0)

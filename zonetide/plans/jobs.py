@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.fixed import REPORT_MONTHS_BACK
 from ..functions.times import Now, report_months
@@ -51,11 +51,16 @@ def corpus_from_files(
 
 
 def ingest_registrar_reports(
-    spark: SparkSession, path: str, now: Now = None, months_back: int = REPORT_MONTHS_BACK, month: str | None = None
+    spark: SparkSession,
+    path: str,
+    now: Now = None,
+    months_back: int = REPORT_MONTHS_BACK,
+    month: str | None = None,
+    month_pattern: str = registrar_reports.MONTH_IN_NAME,
 ) -> DataFrame:
     """Report rows of one month, or of the months due at ``now`` (R7). Other files are not read."""
     wanted = [month] if month else report_months(now, months_back)
-    return registrar_reports.read_registrar_reports(spark, path, wanted)
+    return registrar_reports.read_registrar_reports(spark, path, wanted, month_pattern)
 
 
 def build_tld_dimension(tld_lines: DataFrame, zone_lines: DataFrame) -> DataFrame:
@@ -87,8 +92,6 @@ def probe_statistics(
     dns_answers: DataFrame, http_responses: DataFrame, pos_index: DataFrame, mode: str, keys: list[str] | None = None
 ) -> ProbeStats:
     """Captured answers of one mode -> published aggregates."""
-    from pyspark.sql import functions as F
-
     resolved = probes.resolve(probes.dns_verdicts(dns_answers), keys)
     names = probes.probe_results(resolved, probes.http_usage(http_responses), keys)
     names = names.withColumn("mode", F.lit(mode))

@@ -36,6 +36,17 @@ def compact(spark: SparkSession, path: str, policy: MergePolicy, target: str, se
     append(rows.withColumn(seq, F.lit(0).cast("bigint")), target, 0)
 
 
+def store_by_month(rows: DataFrame, path: str, month: str = "snap_month") -> None:
+    """Write monthly rows under one folder per month; only the months in ``rows`` are replaced."""
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(month).parquet(path)
+
+
+def read_by_month(spark: SparkSession, path: str, policy: MergePolicy) -> DataFrame:
+    """Rows stored by month; a month filter reads that month's folder alone."""
+    return spark.read.schema(policy.schema).parquet(path)
+
+
 def export_words(words: DataFrame, path: str) -> None:
     """A word list as sorted text lines."""
     words.select("word").orderBy("word").write.mode("overwrite").text(path)

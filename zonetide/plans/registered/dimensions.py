@@ -10,7 +10,8 @@ from ...functions.times import month_of, report_months
 from ...operators import corpus, registrars, tlds
 from ...operators.positions import with_position
 from ...operators.shares import rank_tiers as rank_tier_names
-from ...plans.jobs import build_corpus, build_tld_dimension
+from ...plans.jobs import build_corpus, build_tld_dimension, ingest_registrar_reports
+from ...session import scratch_path
 from ...sources import companies, lists
 from .names import HOSTS_SQL
 from .registry import query, table
@@ -238,6 +239,26 @@ def registrar_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monthly(spark, sf_dir).filter(F.col("report_month").isin(report_months("1998-12-01")))
 
 
+@query(_MONTHLY_SQL + "SELECT * FROM m WHERE report_month IN ('1998-10', '1998-09', '1998-08')")
+def registrar_report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows by way of report files: a folder per month, the header changing by month.
+
+    The rows of all months are written; the report months due at the end of 1998 are read.
+    """
+    home = scratch_path(spark, "reports")
+    rows = monthly(spark, sf_dir).withColumn("net_adds", F.format_number("net_adds", 0)).repartition("report_month")
+    shapes = [
+        {"iana_id": "IANA-ID", "tld": "TLD", "net_adds": "Net Adds 1-Year", "renewals": "Renewals", "transfers": "transfer-in", "deletes": "Deletes", "domains_under_mgmt": "DUM"},
+        {"domains_under_mgmt": "end-of-month-domains", "tld": "gTLD", "deletes": "deleted", "transfers": "Transfers", "renewals": "renew", "net_adds": "net-adds", "iana_id": "registrar-id"},
+    ]
+    month = F.substring("report_month", 6, 2).cast("int") % 2
+    for odd, names in enumerate(shapes):
+        picked = rows.filter(month == odd).select("report_month", *[F.col(f).alias(h) for f, h in names.items()])
+        picked.write.mode("append").partitionBy("report_month").option("header", True).csv(home)
+    due = ingest_registrar_reports(spark, f"{home}/*", now="1998-12-01", month_pattern=r"report_month=(\d{4}-\d{2})")
+    return due.drop("source_url")
+
+
 @query(
     _MONTHLY_SQL
     + """, t AS (SELECT *, sum(net_adds) OVER w AS na, sum(domains_under_mgmt) OVER w AS du,

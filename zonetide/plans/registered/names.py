@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ...functions.text import domain_label, domain_tld, normalize_domain
 from ...operators import aggregates, probes
+from .. import reports
 from .registry import query, table
 
 # Phrases that occur in the provided pages, in place of the usual ones.
@@ -155,6 +156,32 @@ def batch_summary_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.batch_summary(aggregates.length_stats(aggregates.probe_cells(page_names(spark, sf_dir))))
 
 
+@query(
+    NAMES_SQL
+    + """, l AS (SELECT length, CAST(pow(36, length) AS BIGINT) AS total_possible, count(*) AS tracked_count,
+        count(*) FILTER (NOT registered) AS unregistered_found, count(*) FILTER (unused) AS unused_found FROM c WHERE mode = 'short' GROUP BY length),
+    t AS (SELECT tld, length, CAST(pow(36, length) AS BIGINT) AS total_possible, count(*) AS tracked_count,
+        count(*) FILTER (NOT registered) AS unregistered_found, count(*) FILTER (unused) AS unused_found FROM c WHERE mode = 'short' GROUP BY tld, length)
+    SELECT CAST(to_json({'date': '2026-01-01', 'global': {'domains_tracked_lifetime': (SELECT count(*) FROM c), 'domains_tracked_24h': (SELECT count(*) FROM c)},
+      'length_stats': (SELECT list(l ORDER BY length) FROM l), 'length_stats_by_tld': (SELECT list(t ORDER BY tld, length) FROM t),
+      'word_pos_stats': [], 'run_id': 'run-1', 'batch_id': 'batch-1'}) AS VARCHAR) AS value"""
+)
+def upload_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The upload document of one block made of all pages; no page is a dictionary word."""
+    names = page_names(spark, sf_dir)
+    cells = aggregates.probe_cells(names)
+    no_words = names.select(F.col("label").alias("word"), F.lit("noun").alias("pos")).filter(F.lit(False))
+    return reports.upload_document(
+        "2026-01-01",
+        aggregates.global_totals(cells),
+        aggregates.length_stats(cells),
+        aggregates.length_stats_by_tld(cells),
+        aggregates.word_pos_stats(names, no_words),
+        "run-1",
+        "batch-1",
+    )
+
+
 # ---- captured DNS answers: one name per user, one answer per event ------------
 
 _DNS_SQL = """

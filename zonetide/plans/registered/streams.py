@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ...functions.times import day_of
 from ...session import scratch_path
 from ...streaming import runs as run_stream
 from ...streaming import uploads as upload_stream
@@ -40,6 +41,28 @@ def stream_upload_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.drop("updated_at")
 
 
+@query(
+    """SELECT strftime(o_orderdate, '%Y-%m-%d') AS date, CAST(sum(o_custkey) AS BIGINT) AS domains_tracked_lifetime,
+      CAST(count(*) AS BIGINT) AS domains_tracked_24h FROM orders GROUP BY 1"""
+)
+def stream_running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running totals per day of a stream of orders as upload documents, as of the last micro-batch."""
+    home = scratch_path(spark, "totals")
+    documents = table(spark, sf_dir, "orders").select(
+        day_of("o_orderdate").alias("date"),
+        F.struct(F.col("o_custkey").alias("domains_tracked_lifetime"), F.lit(1).cast("bigint").alias("domains_tracked_24h")).alias("global"),
+    )
+    documents.repartition(3).write.parquet(f"{home}/inbox")
+    schema = spark.read.parquet(f"{home}/inbox").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/inbox")
+    writer = upload_stream.running_totals(stream).writeStream.outputMode("complete")
+    writer.foreachBatch(lambda batch, epoch: ledger.append(batch, f"{home}/totals", epoch)).option(
+        "checkpointLocation", f"{home}/checkpoint"
+    ).trigger(availableNow=True).start().awaitTermination()
+    totals = ledger.read(spark, f"{home}/totals")
+    return totals.filter(F.col("epoch") == totals.agg(F.max("epoch")).scalar()).drop("epoch")
+
+
 @query(_EVENTS_SQL + "SELECT * FROM runs")
 def stream_run_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The run log of a stream of events, as of its last micro-batch."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -51,6 +52,12 @@ def word_counts_report(word_pos_stats: DataFrame) -> DataFrame:
     )
 
 
+def _one_row(*parts: DataFrame) -> DataFrame:
+    """Columns of several tables of at most one row each, side by side in one row."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in stacked.columns])
+
+
 class Overview(NamedTuple):
     """Parts of the overview; the lists are empty while no day has been counted."""
 
@@ -62,24 +69,15 @@ class Overview(NamedTuple):
 
 def overview(global_stats: DataFrame, length_stats: DataFrame, word_pos_stats: DataFrame, runs: DataFrame) -> Overview:
     """Totals, latest day, length and word rows, last update and last run."""
-    last = latest_run(runs).select(
-        F.lit(1).alias("_k"), F.col("last_run_at"), F.col("status").alias("last_run_status")
-    )
-    day = latest_global(global_stats).select(
-        F.lit(1).alias("_k"), "domains_tracked_24h", F.col("updated_at").alias("last_updated_at")
-    )
-    total = lifetime_total(global_stats).withColumn("_k", F.lit(1))
+    last = latest_run(runs).select("last_run_at", F.col("status").alias("last_run_status"))
+    day = latest_global(global_stats).select("domains_tracked_24h", F.col("updated_at").alias("last_updated_at"))
     zero = F.lit(0).cast("bigint")
-    totals = (
-        total.join(day, "_k", "left")
-        .join(last, "_k", "left")
-        .select(
-            "domains_tracked_lifetime",
-            F.coalesce("domains_tracked_24h", zero).alias("domains_tracked_24h"),
-            "last_updated_at",
-            F.coalesce("last_run_at", "last_updated_at").alias("last_run_at"),
-            "last_run_status",
-        )
+    totals = _one_row(lifetime_total(global_stats), day, last).select(
+        "domains_tracked_lifetime",
+        F.coalesce("domains_tracked_24h", zero).alias("domains_tracked_24h"),
+        "last_updated_at",
+        F.coalesce("last_run_at", "last_updated_at").alias("last_run_at"),
+        "last_run_status",
     )
     any_day = latest_global(global_stats).select(F.lit(True).alias("_any"))
     gate = lambda df: df.filter(F.coalesce(any_day.scalar(), F.lit(False)))
@@ -146,7 +144,7 @@ def freshness(runs: DataFrame, global_stats: DataFrame, now: Now = None) -> Data
         F.lit(None).cast("string").alias("status"),
         F.lit(None).cast("string").alias("run_id"),
     )
-    age, limit = _hours(F.col("age_hours")), f"h)"
+    age = _hours(F.col("age_hours"))
     stale = F.col("known") & (F.col("age_hours").isNull() | (F.col("age_hours") > STALE_AFTER_HOURS))
     failed = F.col("status") == "failed"
     is_run = F.col("name") == "last_run"
@@ -154,7 +152,7 @@ def freshness(runs: DataFrame, global_stats: DataFrame, now: Now = None) -> Data
     # Fixed message formats.
     message = (
         F.when(~F.col("known"), F.when(is_run, "no runs recorded yet").otherwise("no aggregate data"))
-        .when(stale, F.concat(F.lit("stale: "), age, F.lit("h since last "), subject, F.lit(f" (threshold {STALE_AFTER_HOURS}{limit}")))
+        .when(stale, F.concat(F.lit("stale: "), age, F.lit("h since last "), subject, F.lit(f" (threshold {STALE_AFTER_HOURS}h)")))
         .when(failed, F.concat(F.lit("last run status=failed (run_id="), F.col("run_id"), F.lit(")")))
         .when(is_run, F.concat(F.lit("ok: "), age, F.lit("h since last "), F.col("status"), F.lit(" run")))
         .otherwise(F.concat(F.lit("ok: "), age, F.lit("h since last upload")))
@@ -187,14 +185,14 @@ def upload_document(
 
     def listed(df: DataFrame, name: str, keys: list[str], rest: list[str]) -> DataFrame:
         rows = F.array_sort(F.collect_list(F.struct(*keys, *rest)))
-        return df.agg(rows.alias(name)).withColumn("_k", F.lit(1))
+        return df.agg(rows.alias(name))
 
     found = ["tracked_count", "unregistered_found", "unused_found"]
-    parts = (
-        totals.withColumn("_k", F.lit(1))
-        .join(listed(lengths, "length_stats", ["length"], ["total_possible", *found]), "_k")
-        .join(listed(tld_lengths, "length_stats_by_tld", ["tld", "length"], ["total_possible", *found]), "_k")
-        .join(listed(words, "word_pos_stats", ["pos", "length"], found), "_k")
+    parts = _one_row(
+        totals,
+        listed(lengths, "length_stats", ["length"], ["total_possible", *found]),
+        listed(tld_lengths, "length_stats_by_tld", ["tld", "length"], ["total_possible", *found]),
+        listed(words, "word_pos_stats", ["pos", "length"], found),
     )
     document = F.struct(
         F.lit(date).alias("date"),

@@ -23,7 +23,7 @@ SCHEMA = T.StructType(
 )
 # A comma outside double quotes.
 _CELL_BREAK = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
-_MONTH_IN_NAME = r"(\d{4}-\d{2})[^/]*$"
+MONTH_IN_NAME = r"(\d{4}-\d{2})[^/]*$"
 
 
 def resolve_header(headers: list[str]) -> dict[str, int]:
@@ -82,7 +82,7 @@ def read_registrar_reports(
     spark: SparkSession,
     path: str | list[str],
     months: list[str] | None = None,
-    month_pattern: str = _MONTH_IN_NAME,
+    month_pattern: str = MONTH_IN_NAME,
 ) -> DataFrame:
     """Rows of all report files under ``path``; the month comes from the file name.
 
