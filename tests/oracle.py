@@ -72,7 +72,7 @@ def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or list(entry_points.queries())
     spark = (
-        SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").getOrCreate()
+        SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", os.environ.get("PARTITIONS", "8")).config("spark.sql.session.timeZone", os.environ.get("ZONE", "UTC")).config("spark.ui.enabled", "false").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)

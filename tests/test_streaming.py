@@ -6,7 +6,7 @@ from conftest import rows
 
 from zonetide.plans import ledger
 from zonetide.sources.batches import parse_uploads
-from zonetide.streaming import uploads
+from zonetide.streaming import runs, uploads
 
 
 def document(run, batch, n, date="2026-01-01"):
@@ -86,3 +86,44 @@ def test_running_totals(spark, tmp_path):
     query = uploads.running_totals(documents).writeStream.outputMode("complete").format("memory").queryName("totals").trigger(availableNow=True).start()
     query.awaitTermination()
     assert rows(spark.table("totals")) == [("2026-01-01", 7, 7), ("2026-01-02", 9, 9)]
+
+
+def test_snapshot_and_later_documents(spark, tmp_path):
+    ledger_path, snapshot = str(tmp_path / "stats/v1"), str(tmp_path / "snapshot")
+    put(tmp_path / "in", "a.json", document("r", "1", 3), document("r", "2", 4))
+    take_in(spark, tmp_path)
+    uploads.write_snapshot(spark, ledger_path, snapshot, 0)
+    put(tmp_path / "in", "b.json", document("r", "2", 4), document("r", "3", 5), document("r", "4", 1, "2026-01-02"))
+    whole = take_in(spark, tmp_path)
+    since = uploads.tables_since(spark, ledger_path, snapshot, 0)
+    for name in whole:
+        assert rows(since[name]) == rows(whole[name]), name
+    assert rows(since["global_stats"].drop("updated_at")) == [("2026-01-01", 12, 12), ("2026-01-02", 1, 1)]
+
+
+def test_backlog_in_small_batches(spark, tmp_path):
+    for n in range(4):
+        put(tmp_path / "in", f"{n}.json", document("r", str(n // 2), 3), document("s", str(n), 1))
+    store = str(tmp_path / "stats/v1")
+    stream = uploads.read_uploads(spark, str(tmp_path / "in"), files_per_batch=1)
+    uploads.apply_uploads(stream, store, str(tmp_path / "ck")).awaitTermination()
+    stored = ledger.read(spark, store)
+    assert stored.select("epoch").distinct().count() == 4  # every file was its own batch
+    assert rows(uploads.stored_tables(stored)["global_stats"].drop("updated_at")) == [("2026-01-01", 10, 10)]
+
+
+def test_run_log_over_micro_batches(spark, tmp_path):
+    schema = "seq bigint, ts string, run_id string, event string, status string, domains_processed string, errors_count string, source string, notes string"
+    steps = [
+        [(1, "t1", "a", "start", None, None, None, "s", None), (2, "t2", "b", "heartbeat", None, "7", None, None, None)],
+        [(3, "t3", "a", "heartbeat", None, "5", None, None, None), (4, "t4", "b", "start", None, None, None, None, None)],
+        [(5, "t5", "a", "finish", "failed", "9", "1", None, "why")],
+    ]
+    inbox, log = str(tmp_path / "in"), str(tmp_path / "log")
+    for step in steps:
+        spark.createDataFrame(step, schema).coalesce(1).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(schema).parquet(inbox)
+        runs.keep_runs(stream, log, str(tmp_path / "ck")).awaitTermination()
+    assert rows(runs.run_log(spark, log).select("run_id", "finished_at", "status", "domains_processed", "notes")) == [
+        ("a", "t5", "failed", 9, "why"), ("b", None, "running", 0, None),
+    ]

@@ -30,6 +30,13 @@ def table(ledger: DataFrame, policy: MergePolicy, seq: str = "seq") -> DataFrame
     return fold(prepare(ledger, policy), policy, ["epoch", seq])
 
 
+def latest(ledger: DataFrame, *keys: str) -> DataFrame:
+    """The row of the last epoch per key, for ledgers whose batches hold whole new rows."""
+    rest = [c for c in ledger.columns if c not in (*keys, "epoch")]
+    last = ledger.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("_r"))
+    return last.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
 def compact(spark: SparkSession, path: str, policy: MergePolicy, target: str, seq: str = "seq") -> None:
     """Write the current rows as the first epoch of a new ledger; the old one is left alone."""
     rows = table(read(spark, path), policy, seq)

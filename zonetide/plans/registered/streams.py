@@ -55,12 +55,11 @@ def stream_running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents.repartition(3).write.parquet(f"{home}/inbox")
     schema = spark.read.parquet(f"{home}/inbox").schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/inbox")
-    writer = upload_stream.running_totals(stream).writeStream.outputMode("complete")
+    writer = upload_stream.running_totals(stream).writeStream.outputMode("update")
     writer.foreachBatch(lambda batch, epoch: ledger.append(batch, f"{home}/totals", epoch)).option(
         "checkpointLocation", f"{home}/checkpoint"
     ).trigger(availableNow=True).start().awaitTermination()
-    totals = ledger.read(spark, f"{home}/totals")
-    return totals.filter(F.col("epoch") == totals.agg(F.max("epoch")).scalar()).drop("epoch")
+    return ledger.latest(ledger.read(spark, f"{home}/totals"), "date")
 
 
 @query(_EVENTS_SQL + "SELECT * FROM runs")
@@ -68,9 +67,8 @@ def stream_run_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The run log of a stream of events, as of its last micro-batch."""
     home = scratch_path(spark, "runs")
     inbox = f"{home}/inbox"
-    run_events(table(spark, sf_dir, "events")).write.parquet(inbox)
+    run_events(table(spark, sf_dir, "events")).repartition(3).write.parquet(inbox)
     schema = spark.read.parquet(inbox).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(inbox)
     run_stream.keep_runs(stream, f"{home}/log", f"{home}/checkpoint").awaitTermination()
-    log = ledger.read(spark, f"{home}/log")
-    return log.filter(F.col("epoch") == log.agg(F.max("epoch")).scalar()).drop("epoch")
+    return run_stream.run_log(spark, f"{home}/log")

@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.runs import clean_events, fold_runs
+from ..plans import ledger
 
 
 def keep_runs(events: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Write the run log as of each micro-batch to ``path/epoch=<n>``; the last epoch is current.
+    """Append the runs each micro-batch changed to the ledger at ``path``.
 
-    State is one row per run: the first start and the last events after it.
+    State is one row per run: the first start and the last events after it. Only changed
+    runs are written, so the cost of a micro-batch does not grow with the log.
     """
-
-    def step(runs: DataFrame, epoch: int) -> None:
-        runs.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
-
     writer = (
         fold_runs(clean_events(events))
-        .writeStream.outputMode("complete")
-        .foreachBatch(step)
+        .writeStream.outputMode("update")
+        .foreachBatch(lambda runs, epoch: ledger.append(runs, path, epoch))
         .option("checkpointLocation", checkpoint)
     )
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def run_log(spark: SparkSession, path: str) -> DataFrame:
+    """The run log as of the last micro-batch."""
+    return ledger.latest(ledger.read(spark, path), "run_id")

@@ -43,9 +43,15 @@ def not_yet_applied(uploads: DataFrame, applied: DataFrame) -> DataFrame:
     return uploads.join(hits, _IDS, "left_anti")
 
 
-def read_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """A stream of upload documents, one JSON document per line of the files under ``path``."""
-    return spark.readStream.text(path).select(
+def read_uploads(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """A stream of upload documents, one JSON document per line of the files under ``path``.
+
+    ``files_per_batch`` bounds a micro-batch when there is a backlog to take in.
+    """
+    reader = spark.readStream
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.text(path).select(
         "value",
         F.col("_metadata.file_modification_time").alias("_at"),
         F.col("_metadata.file_path").alias("_file"),
@@ -83,15 +89,40 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def stored_tables(uploads: DataFrame) -> dict[str, DataFrame]:
-    """Daily totals, length and word tables of a ledger of documents (K1 to K3)."""
-    numbered = uploads.withColumn("seq", F.col("epoch"))
-    carry = ("seq", "applied_at")
-    return {
-        "global_stats": fold(upload_global(numbered, *carry), POLICIES["global_stats"]),
-        "length_stats": fold(upload_length_rows(numbered, *carry), POLICIES["length_stats"]),
-        "word_pos_stats": fold(upload_word_rows(numbered, *carry), POLICIES["word_pos_stats"]),
-    }
+_TABLES = {"global_stats": upload_global, "length_stats": upload_length_rows, "word_pos_stats": upload_word_rows}
+
+
+def stored_tables(uploads: DataFrame, snapshot: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Daily totals, length and word tables of a ledger of documents (K1 to K3).
+
+    With a ``snapshot`` of the same tables, ``uploads`` are the documents applied after it.
+    """
+    numbered = uploads.withColumn("seq", F.col("epoch").cast("bigint"))
+    tables = {}
+    for name, rows in _TABLES.items():
+        changes = rows(numbered, "seq", "applied_at")
+        if snapshot:
+            before = snapshot[name].withColumnRenamed("updated_at", "applied_at")
+            changes = changes.unionByName(before.withColumn("seq", F.lit(-1).cast("bigint")))
+        tables[name] = fold(changes, POLICIES[name])
+    return tables
+
+
+def write_snapshot(spark: SparkSession, path: str, target: str, upto: int) -> None:
+    """Fold the documents up to an epoch into tables under ``target``.
+
+    Readers then open the tables and the later epochs only; the ledger stays as the record of
+    applied ids, of which deduplication reads the two id columns.
+    """
+    applied = ledger.read(spark, path).filter(F.col("epoch") <= upto)
+    for name, rows in stored_tables(applied).items():
+        rows.write.mode("overwrite").parquet(f"{target}/{name}")
+
+
+def tables_since(spark: SparkSession, path: str, snapshot: str, upto: int) -> dict[str, DataFrame]:
+    """Current tables from a snapshot up to an epoch and the documents after it."""
+    later = ledger.read(spark, path).filter(F.col("epoch") > upto)
+    return stored_tables(later, {name: spark.read.parquet(f"{snapshot}/{name}") for name in _TABLES})
 
 
 def reset_statistics(spark: SparkSession, path: str) -> str:
@@ -107,7 +138,7 @@ def reset_statistics(spark: SparkSession, path: str) -> str:
 
 
 def running_totals(documents: DataFrame) -> DataFrame:
-    """Totals per date of a stream of (already deduplicated) documents; use update or complete mode."""
+    """Totals per date of a stream of (already deduplicated) documents; use update mode, or complete."""
     return (
         upload_global(documents)
         .groupBy("date")
