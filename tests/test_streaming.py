@@ -51,9 +51,9 @@ def test_replays_count_once(spark, tmp_path):
 def test_documents_without_ids_count_every_time(spark, tmp_path):
     put(tmp_path / "in", "a.json", document("r", None, 3), document("r", None, 3), document("", "1", 1))
     tables = take_in(spark, tmp_path)
-    put(tmp_path / "in", "b.json", document("r", None, 3))
+    put(tmp_path / "in", "b.json", document("r", None, 3), document("", "1", 1))
     tables = take_in(spark, tmp_path)
-    assert rows(tables["global_stats"].drop("updated_at")) == [("2026-01-01", 10, 10)]
+    assert rows(tables["global_stats"].drop("updated_at")) == [("2026-01-01", 11, 11)]
 
 
 def test_same_files_twice_give_the_same_table(spark, tmp_path):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ...functions.times import day_of
-from ...session import scratch_path
+from ...session import scratch_path, stream_session
 from ...streaming import runs as run_stream
 from ...streaming import uploads as upload_stream
 from .. import ledger
@@ -54,7 +54,7 @@ def stream_running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     documents.repartition(3).write.parquet(f"{home}/inbox")
     schema = spark.read.parquet(f"{home}/inbox").schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/inbox")
+    stream = stream_session(spark).readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/inbox")
     writer = upload_stream.running_totals(stream).writeStream.outputMode("update")
     writer.foreachBatch(lambda batch, epoch: ledger.append(batch, f"{home}/totals", epoch)).option(
         "checkpointLocation", f"{home}/checkpoint"
@@ -69,6 +69,6 @@ def stream_run_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     inbox = f"{home}/inbox"
     run_events(table(spark, sf_dir, "events")).repartition(3).write.parquet(inbox)
     schema = spark.read.parquet(inbox).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    stream = stream_session(spark).readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(inbox)
     run_stream.keep_runs(stream, f"{home}/log", f"{home}/checkpoint").awaitTermination()
     return run_stream.run_log(spark, f"{home}/log")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ...operators.corpus import first_wins
 from ...operators.upsert import POLICIES, fold, prepare, upsert
 from ...functions.times import day_of, month_of
-from ...streaming.uploads import first_of_each_id, not_yet_applied
+from ...streaming.uploads import new_uploads, not_yet_applied
 from .registry import query, table
 
 
@@ -120,7 +120,8 @@ def _uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_IDS_SQL + " SELECT run_id, batch_id, event_id FROM f")
 def dedupe_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return first_of_each_id(_uploads(spark, sf_dir).drop("day"), ["event_id"])
+    uploads = _uploads(spark, sf_dir).drop("day")
+    return new_uploads(uploads, uploads.filter(F.lit(False)), ["event_id"])
 
 
 @query(

@@ -53,6 +53,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def stream_session(spark: SparkSession) -> SparkSession:
+    """A session for stateful streams: as many state partitions as the cluster has cores.
+
+    A stream keeps the number it starts with for life, and each costs a store per
+    micro-batch, so the setting for batch shuffles is not the one to take over.
+    """
+    session = spark.newSession()
+    session.conf.set("spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism)
+    return session
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably, so later branches see one fixed set of partitions."""
     spark = df.sparkSession

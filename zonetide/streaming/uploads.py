@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.upsert import POLICIES, fold
@@ -19,30 +19,36 @@ _IDS = ["run_id", "batch_id"]
 LEDGER = f"{UPLOAD}, applied_at timestamp"
 
 
+def has_ids() -> Column:
+    """Only documents with both ids can be recognised as replays."""
+    return (F.coalesce("run_id", F.lit("")) != "") & (F.coalesce("batch_id", F.lit("")) != "")
+
+
 def first_of_each_id(uploads: DataFrame, arrival: list[str]) -> DataFrame:
-    """The first document per (run_id, batch_id); documents without both ids are all kept."""
-    has_ids = (F.coalesce("run_id", F.lit("")) != "") & (F.coalesce("batch_id", F.lit("")) != "")
+    """The first document to arrive per (run_id, batch_id), among those with both ids."""
     rest = [c for c in uploads.columns if c not in _IDS]
-    first = (
-        uploads.filter(has_ids)
-        .groupBy(*_IDS)
-        .agg(F.min_by(F.struct(*rest), F.struct(*arrival)).alias("_d"))
-        .select(*_IDS, *[F.col(f"_d.{c}").alias(c) for c in rest])
-    )
-    return first.unionByName(uploads.filter(~has_ids))
+    first = uploads.filter(has_ids()).groupBy(*_IDS).agg(F.min_by(F.struct(*rest), F.struct(*arrival)).alias("_d"))
+    return first.select(*_IDS, *[F.col(f"_d.{c}").alias(c) for c in rest])
 
 
 def not_yet_applied(uploads: DataFrame, applied: DataFrame) -> DataFrame:
-    """Documents whose ids are not in ``applied``.
+    """Documents whose ids are not in ``applied``; a document without ids never is.
 
     The ledger of ids grows without end and the micro-batch does not, so the ledger is first
     cut to the ids of this batch: that is the side a size check may broadcast, and then the
     ledger is scanned in place. The anti join that follows sees batch-sized inputs only.
     """
-    hits = applied.select(*_IDS).join(uploads.select(*_IDS).distinct(), _IDS, "left_semi").distinct()
+    asked = uploads.filter(has_ids()).select(*_IDS).distinct()
+    hits = applied.select(*_IDS).join(asked, _IDS, "left_semi").distinct()
     return uploads.join(hits, _IDS, "left_anti")
 
 
+def new_uploads(uploads: DataFrame, applied: DataFrame, arrival: list[str]) -> DataFrame:
+    """What a batch adds: first arrivals of unseen ids, and every document without ids."""
+    known = not_yet_applied(first_of_each_id(uploads, arrival), applied)
+    return known.unionByName(uploads.filter(~has_ids()))
+
+
 def read_uploads(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """A stream of upload documents, one JSON document per line of the files under ``path``.
 
@@ -72,10 +78,9 @@ def apply_uploads(lines: DataFrame, path: str, checkpoint: str, available_now: b
         documents = parse_uploads(batch.withColumn("_row", F.monotonically_increasing_id())).filter("valid")
         # Opened once per micro-batch; the plan below reads the documents several times.
         documents.persist()
-        fresh = first_of_each_id(documents, arrival).drop("valid", *arrival)
         applied = ledger.read(batch.sparkSession, path).filter(F.col("epoch") != epoch)
-        stamped = not_yet_applied(fresh, applied).withColumn("applied_at", F.current_timestamp())
-        ledger.append(stamped, path, epoch)
+        fresh = new_uploads(documents, applied, arrival).drop("valid", *arrival)
+        ledger.append(fresh.withColumn("applied_at", F.current_timestamp()), path, epoch)
         documents.unpersist()
 
     if not _exists(spark, path):
