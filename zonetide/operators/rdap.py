@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import integer_or_null
-from ..functions.text import domain_tld
+from ..functions.text import domain_tld, strip
 
 _ENTITY = "struct<roles:array<string>,publicIds:array<struct<type:string,identifier:string>>,vcardArray:array<string>>"
 
@@ -51,7 +51,7 @@ def rdap_verdicts(answers: DataFrame) -> DataFrame:
     404 means not registered; 200 with a JSON object means registered, with the registrar if
     the document has one; anything else falls through. No usable answer gives nulls.
     """
-    is_object = F.schema_of_variant(F.try_parse_json("body")).startswith("OBJECT")
+    is_object = strip("body").startswith("{") & F.try_parse_json("body").isNotNull()
     found = (F.col("status") == 200) & F.coalesce(is_object, F.lit(False))
     usable = (F.col("domain").contains(".")) & ((F.col("status") == 404) | found)
     first = F.min_by(

@@ -41,11 +41,13 @@ def with_tiers(probes: DataFrame, companies: DataFrame, ranks: DataFrame) -> Dat
     """Add ``tiers`` to probe rows: index flags, rank bounds of the same month, and ``all``.
 
     All three tables are keyed by domain (and month), one row per key, so no join key repeats.
+    Ranks come first: they share the full key of the probe rows, so a folded probe table is
+    already partitioned for that join. Companies are few.
     """
     flags = companies.select(F.col("canonical_domain").alias("domain"), company_tiers().alias("_c"))
     ranked = ranks.select("domain", "snap_month", rank_tiers().alias("_r"))
     none = F.array().cast("array<string>")
-    joined = probes.join(flags, "domain", "left").join(ranked, ["domain", "snap_month"], "left")
+    joined = probes.join(ranked, ["snap_month", "domain"], "left").join(flags, "domain", "left")
     tiers = F.concat(F.coalesce("_c", none), F.coalesce("_r", none), F.array(F.lit(TIER_ALL)))
     return joined.withColumn("tiers", tiers).drop("_c", "_r")
 

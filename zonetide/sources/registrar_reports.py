@@ -37,11 +37,14 @@ def resolve_header(headers: list[str]) -> dict[str, int]:
     return found
 
 
-def _report_files(spark: SparkSession, path: str | list[str], month_pattern: str) -> list[tuple[str, str]]:
-    """(month, path) of every file; lists the folder, reads no content."""
+def _report_files(
+    spark: SparkSession, path: str | list[str], months: list[str] | None, month_pattern: str
+) -> list[str]:
+    """Paths of the report files of the wanted months; lists the folder, reads no content."""
     listing = spark.read.format("binaryFile").load(path).select("path")
-    month = F.regexp_extract("path", month_pattern, 1)
-    return [(r.month, r.path) for r in listing.select(month.alias("month"), "path").orderBy("path").collect()]
+    if months is not None:
+        listing = listing.filter(F.regexp_extract("path", month_pattern, 1).isin(months))
+    return [r.path for r in listing.orderBy("path").collect()]
 
 
 def _read_alike(spark: SparkSession, paths: list[str], headers: list[str], month_pattern: str) -> DataFrame:
@@ -91,10 +94,9 @@ def read_registrar_reports(
     shapes. Files without an IANA id and a TLD column give no rows.
     """
     by_header: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for month, file in _report_files(spark, path, month_pattern):
-        if months is None or month in months:
-            headers = spark.read.option("header", True).option("escape", '"').csv(file).columns
-            by_header[tuple(headers)].append(file)
+    for file in _report_files(spark, path, months, month_pattern):
+        headers = spark.read.option("header", True).option("escape", '"').csv(file).columns
+        by_header[tuple(headers)].append(file)
     parts = [
         _read_alike(spark, files, list(headers), month_pattern)
         for headers, files in by_header.items()
