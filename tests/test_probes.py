@@ -164,6 +164,9 @@ IANA = {"type": "IANA Registrar ID", "identifier": "292"}
         ([(0, 200, {"entities": [{"roles": ["registrar"]}, entity("registrar", [IANA])]})], (True, None, None)),
         ([(0, 200, {"entities": [7, "x", entity("registrar", [IANA])]})], (True, 292, "MarkMonitor Inc.")),
         ([(0, 200, {"entities": []})], (True, None, None)),
+        ([(0, 200, {"entities": {"roles": ["registrar"]}})], (True, None, None)),
+        ([(0, 200, {"entities": [{"roles": ["REGISTRAR"], "publicIds": [5, IANA], "vcardArray": ["vcard", ["odd", ["fn", {}, "text", "N"]]]}]})], (True, 292, "N")),
+        ([(0, 200, "[1]"), (1, 404, {})], (False, None, None)),
         ([(0, 200, {})], (True, None, None)),
         ([(0, 404, {})], (False, None, None)),
         ([(0, 500, {}), (1, 404, {})], (False, None, None)),

@@ -4,6 +4,7 @@ import json
 
 from conftest import rows
 
+from zonetide.operators.upsert import POLICIES, prepare
 from zonetide.plans.jobs import build_corpus, build_dictionary, build_tld_dimension, corpus_from_files, ingest_registrar_reports
 from zonetide.plans.ledger import export_words
 from zonetide.sources import batches, captures, companies, lists
@@ -108,6 +109,8 @@ def test_corpus_sources(spark, tmp_path):
         "AAPL", "GOOGL", "GOOG", "BRK-B", "BYCIK",
     ]
     assert rows(companies.index_tickers(companies.read_document(spark, page))) == [("AAPL",), ("BRK.B",)]
+    twice = lines(spark, '{"AAPL":"Old.com","aapl":"New.com"}')
+    assert rows(companies.domain_overrides(twice)) == [("aapl", "new.com")]
     assert ("77", "https://www.bycik.org/x") in rows(companies.domain_overrides(companies.read_document(spark, overrides)))
     assert rows(companies.read_site_ranks(spark, ranks, "2026-10")) == [
         ("example.com", "2026-10", 2), ("example.com", "2026-10", 4), ("google.com", "2026-10", 1),
@@ -175,6 +178,13 @@ def test_row_batches_number_keys(spark):
     assert bad.count() == 2
 
 
+def test_row_batch_counts(spark):
+    row = {"report_month": "2026-01", "iana_id": 1, "tld": "com", "net_adds": "12.7", "renewals": "x", "transfers": True, "deletes": 3}
+    good, _ = batches.row_batches(lines(spark, json.dumps({"rows": [row]})), "registrar_monthly_stats")
+    stored = prepare(good, POLICIES["registrar_monthly_stats"])
+    assert rows(stored.select("net_adds", "renewals", "transfers", "deletes", "domains_under_mgmt")) == [(12, 0, 1, 3, 0)]
+
+
 def test_tri_state_flags(spark):
     document = {"rows": [{"snap_month": "2026-01", "domain": d, "has_mx": f} for d, f in (("a", None), ("b", 0), ("c", True))]}
     good, _ = batches.row_batches(lines(spark, json.dumps(document)), "monthly_probe")
@@ -184,7 +194,7 @@ def test_tri_state_flags(spark):
 def test_uploads(spark):
     docs = [
         {"date": "2026-01-01", "global": {"domains_tracked_lifetime": 3}, "length_stats": [{"length": 2, "total_possible": 1296, "tracked_count": 3}],
-         "length_stats_by_tld": [{"tld": "com", "length": 2, "total_possible": 1296, "tracked_count": 3, "unused_found": 1}, None]},
+         "length_stats_by_tld": [{"tld": "com", "length": 2, "total_possible": 1296, "tracked_count": 3, "unused_found": 1}, None, {"length": 3, "tracked_count": 1}, {"tld": "net", "tracked_count": 1}]},
         {"date": "2026-01-01", "global": {}, "length_stats": {}},
         {"date": "", "global": {}, "length_stats": []},
         {"global": {}, "length_stats": []},

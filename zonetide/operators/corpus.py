@@ -25,7 +25,7 @@ _FLAGS = ["in_us_public", "in_sp500", "in_russell1000", "in_russell3000"]
 def resolve_domains(tickers: DataFrame, overrides: DataFrame) -> DataFrame:
     """Add ``canonical_domain``: override by CIK, else by ticker, else guessed.
 
-    Override keys are unique; the last value of a repeated key counts for both lookups.
+    Override keys are unique. CIKs are looked up as written, tickers in lower case.
     """
     by_cik = overrides.select(F.col("key").alias("cik"), F.nullif("domain", F.lit("")).alias("_by_cik"))
     by_ticker = overrides.select(F.col("key").alias("_t"), F.nullif("domain", F.lit("")).alias("_by_ticker"))

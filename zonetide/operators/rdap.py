@@ -7,12 +7,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.numbers import integer_or_null
 from ..functions.text import domain_tld, strip
 
-_ENTITY = "struct<roles:array<string>,publicIds:array<struct<type:string,identifier:string>>,vcardArray:array<string>>"
+# Lists are opened element by element, so that one of another shape spoils nothing else.
+_STRINGS = "array<string>"
+_ENTITY = f"struct<roles:{_STRINGS},publicIds:{_STRINGS},vcardArray:{_STRINGS}>"
+_PUBLIC_ID = "struct<type:string,identifier:string>"
 
 
 def _registrar(body: Column) -> Column:
     """The first entity with the registrar role, read from the raw document."""
-    entities = F.from_json(body, "struct<entities array<string>>").entities
+    entities = F.from_json(body, f"struct<entities {_STRINGS}>").entities
     parsed = F.transform(entities, lambda e: F.from_json(e, _ENTITY))
     is_registrar = lambda e: F.exists(e["roles"], lambda r: F.lower(r) == "registrar")
     return F.get(F.filter(parsed, is_registrar), F.lit(0))
@@ -20,12 +23,13 @@ def _registrar(body: Column) -> Column:
 
 def with_registrar(answers: DataFrame, body: str = "body") -> DataFrame:
     """Add ``registrar_iana_id`` and ``registrar_name`` of an RDAP document (null without one)."""
+    public = F.transform("_e.publicIds", lambda p: F.from_json(p, _PUBLIC_ID))
     ids = F.transform(
-        F.filter("_e.publicIds", lambda p: F.lower(p["type"]).contains("iana")),
+        F.filter(public, lambda p: F.lower(p["type"]).contains("iana")),
         lambda p: integer_or_null(p["identifier"]),
     )
     usable = F.filter(ids, lambda i: i.isNotNull())
-    lines = F.from_json(F.get("_e.vcardArray", F.lit(1)), "array<array<string>>")
+    lines = F.transform(F.from_json(F.get("_e.vcardArray", F.lit(1)), _STRINGS), lambda p: F.from_json(p, _STRINGS))
     names = F.filter(lines, lambda p: (F.get(p, F.lit(0)) == "fn") & (F.size(p) >= 4))
     return (
         answers.withColumn("_e", _registrar(F.col(body)))

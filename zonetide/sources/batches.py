@@ -51,12 +51,16 @@ def _counters(*names: str) -> list[Column]:
 
 
 def upload_length_rows(uploads: DataFrame, *carry: str) -> DataFrame:
-    """Length rows of both arrays under the fixed ``overall`` snapshot; no TLD means ``ALL``."""
-    both = _rows(uploads, "length_stats", carry).unionByName(_rows(uploads, "length_stats_by_tld", carry))
-    return both.select(
+    """Length rows of both arrays under the fixed ``overall`` snapshot.
+
+    No TLD means ``ALL`` in the first array; rows without a key are no rows of the table.
+    """
+    totals = _rows(uploads, "length_stats", carry).withColumn("tld", or_default("tld", "ALL"))
+    both = totals.unionByName(_rows(uploads, "length_stats_by_tld", carry))
+    return both.filter(F.col("tld").isNotNull() & F.col("length").isNotNull()).select(
         *carry,
         F.lit("overall").alias("snap_date"),
-        or_default("tld", "ALL").alias("tld"),
+        "tld",
         "length",
         "total_possible",
         *_counters("tracked_count", "unregistered_found", "unused_found"),
@@ -64,7 +68,8 @@ def upload_length_rows(uploads: DataFrame, *carry: str) -> DataFrame:
 
 
 def upload_word_rows(uploads: DataFrame, *carry: str) -> DataFrame:
-    return _rows(uploads, "word_pos_stats", carry).select(
+    rows = _rows(uploads, "word_pos_stats", carry)
+    return rows.filter(F.col("pos").isNotNull() & F.col("length").isNotNull()).select(
         *carry,
         F.lit("overall").alias("snap_date"),
         or_default("tld", "ALL").alias("tld"),
@@ -98,7 +103,11 @@ def _value(field: T.StructField) -> Column:
     if isinstance(field.dataType, T.BooleanType):
         kind = _kind(path)
         return F.when(kind.isNotNull() & (kind != "VOID"), _truthy(path))
-    return F.try_variant_get("r", path, field.dataType.simpleString())
+    value = F.try_variant_get("r", path, field.dataType.simpleString())
+    if isinstance(field.dataType, T.LongType):
+        # A number written as a text with decimals is still that number.
+        return F.coalesce(value, F.try_variant_get("r", path, "double").try_cast("bigint"))
+    return value
 
 
 def row_batches(documents: DataFrame, table: str, column: str = "value") -> tuple[DataFrame, DataFrame]:

@@ -63,6 +63,6 @@ def read_site_ranks(spark: SparkSession, path: str, snap_month: str, limit: int
 
 
 def domain_overrides(documents: DataFrame, column: str = "value") -> DataFrame:
-    """(key, domain) of a flat JSON object, both lower-cased."""
-    pairs = documents.select(F.explode(F.from_json(F.col(column), "map<string,string>")).alias("k", "v"))
-    return pairs.select(F.lower("k").alias("key"), F.lower("v").alias("domain"))
+    """(key, domain) of a flat JSON object, both lower-cased; the last of equal keys stands."""
+    pairs = documents.select(F.posexplode(F.from_json(F.col(column), "map<string,string>")).alias("pos", "k", "v"))
+    return pairs.groupBy(F.lower("k").alias("key")).agg(F.lower(F.max_by("v", "pos")).alias("domain"))
