@@ -8,6 +8,7 @@ from ...functions.fixed import TRACKED_TLDS
 from ...functions.text import SPACES
 from ...operators import aggregates, candidates, dictionary
 from ...operators.positions import with_position
+from ...session import spread_small
 from .registry import query, table
 
 _POS = {"en": "noun", "fr": "verb", "de": "adj", "es": "adv"}
@@ -21,7 +22,8 @@ _TOKENS_SQL = r"""
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     pos = F.element_at(F.create_map(*[F.lit(x) for pair in _POS.items() for x in pair]), F.col("lang"))
-    return table(spark, sf_dir, "documents").select(pos.alias("pos"), F.explode(F.split("text", SPACES)).alias("word"))
+    documents = spread_small(table(spark, sf_dir, "documents").select("text", "lang"))
+    return documents.select(pos.alias("pos"), F.explode(F.split("text", SPACES)).alias("word"))
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,6 +53,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def spread_small(df: DataFrame, bytes_at_most: int = 256 << 20) -> DataFrame:
+    """Give every core a part of a small input that comes in fewer splits than there are cores.
+
+    Worth it before work that is heavy per row. Larger inputs, and those with enough splits,
+    are left where they are.
+    """
+    plan = df._jdf.queryExecution()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if plan.optimizedPlan().stats().sizeInBytes() > bytes_at_most:
+        return df
+    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
+
+
 def stream_session(spark: SparkSession) -> SparkSession:
     """A session for stateful streams: as many state partitions as the cluster has cores.
 
