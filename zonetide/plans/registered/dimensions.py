@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ...functions.fixed import SPECIAL_TLDS
 from ...functions.text import normalize_domain
 from ...functions.times import month_of, report_months
-from ...operators import corpus, registrars, tlds
+from ...operators import corpus, registrars
 from ...operators.positions import with_position
 from ...operators.shares import rank_tiers as rank_tier_names
 from ...plans.jobs import build_corpus, build_tld_dimension, ingest_registrar_reports
@@ -71,7 +71,7 @@ _TICKERS_SQL = """
 """
 
 
-def _ticker() -> "F.Column":
+def _ticker() -> Column:
     return F.concat(F.upper(F.substring("c_mktsegment", 1, 3)), F.lit("-"), F.expr("c_custkey div 2").cast("string"))
 
 

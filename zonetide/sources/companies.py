@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.fixed import INDEX_TABLE_PATTERN, RANK_LIMIT, TICKER_LINK_PATTERN
 from ..functions.numbers import integer_or_null
-from ..functions.text import col, normalize_domain, strip
+from ..functions.text import normalize_domain, strip
 
 
 def read_document(spark: SparkSession, path: str) -> DataFrame:
