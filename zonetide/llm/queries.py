@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, quality
+from . import bpe, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,3 +52,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trees = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return quality.assess(docs, trees).select("doc_id", *[F.col("_stats")[name].alias(name) for name in base], "base_failed", "kept", "quality_score")
+
+
+@query()
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document; labels are learnt only where the remainder of the id's checksum is not 2."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), toxicity.score(docs, model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
