@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, quality, toxicity
+from . import bpe, decontaminate, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -62,3 +62,28 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"), ~held_out)
     scored = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), toxicity.score(docs, model, F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+_WORDS7 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, {_WORDS7} AS w FROM documents),
+    i AS (SELECT item_id, {_WORDS7} AS w FROM benchmark),
+    g AS (SELECT DISTINCT item_id, least(len(w), 13) AS m, array_to_string(w[k : k + least(len(w), 13) - 1], ' ') AS span
+          FROM i, LATERAL (SELECT unnest(range(1, greatest(len(w) - 11, 2))) AS k) WHERE len(w) > 0),
+    m AS (SELECT DISTINCT m FROM g),
+    p AS (SELECT doc_id, m, k, array_to_string(w[k : k + m - 1], ' ') AS span FROM d, m, LATERAL (SELECT unnest(range(1, len(w) - m + 2)) AS k) WHERE len(w) >= m),
+    h AS (SELECT doc_id, k, m, item_id FROM p JOIN g USING (m, span)),
+    c AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + m)) AS x FROM h) GROUP BY doc_id),
+    n AS (SELECT doc_id, count(*) AS n_items, string_agg(t, ',' ORDER BY t) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS t FROM h) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+      sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM d LEFT JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)"""
+)
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside windows of the benchmark, and from which items."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    ids = F.array_join("items", ",").cast("binary")
+    return marked.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), "contaminated")
