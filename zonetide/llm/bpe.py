@@ -21,40 +21,61 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 # Entries of each of the two generations of a worker's cache; the oldest generation goes when the younger is full.
 CACHE_ENTRIES = 600_000
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+class Merges:
+    """The vocabulary as merges: the rank of the token that two adjacent tokens make, by both their ranks."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks = ranks
+        self.single = [ranks.get(bytes([b]), -1) for b in range(256)]
+        self.pairs: dict[int, int] = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    self.pairs[left << 32 | right] = rank
+
+
+def merge(piece: bytes, merges: Merges) -> list[int]:
     """Ids of one pre-token: always merge the pair of lowest rank, the leftmost first.
 
-    ``buckets`` holds a heap of positions per rank, ``leaves`` a bitmap of the filled ones among 256 ranks,
-    ``top`` a bitmap of the leaves that aren't empty. The queue is part of this function, as calls cost more than its work.
+    ``buckets`` holds the position of each rank's pair, or a heap of them; ``leaves`` a bitmap of the filled buckets among
+    256 ranks, ``top`` a bitmap of the filled leaves. The queue is part of this function, as calls cost more than its work.
     """
-    get = ranks.get
-    whole = get(piece)
+    whole = merges.ranks.get(piece)
     if whole is not None:
         return [whole]
+    get = merges.pairs.get
     n = len(piece)
-    after = list(range(1, n + 2))  # where the token that starts here ends, and the next one starts
+    single = merges.single
+    token = [single[b] for b in piece]
+    if n == 1:
+        return token
+    after = list(range(1, n + 1))  # where the next token starts
     before = list(range(-1, n))
-    waiting = [-1] * n  # rank of the pair that starts here; -1: none, or no token starts here any more
-    buckets: dict[int, list[int]] = {}
+    waiting = [get(a << 32 | b, -1) for a, b in zip(token, token[1:])]  # rank of the pair that starts here; -1: none
+    waiting.append(-1)
+    buckets: dict = {}
     leaves: dict[int, int] = {}
     top = 0
     live = 0  # pairs that wait; entries beyond these are stale
 
-    for i in range(n - 1):
-        rank = get(piece[i : i + 2])
-        if rank is not None:
-            waiting[i] = rank
+    for i, rank in enumerate(waiting):
+        if rank >= 0:
             live += 1
             if rank in buckets:
-                buckets[rank].append(i)
+                held = buckets[rank]
+                if held.__class__ is int:
+                    buckets[rank] = [held, i]
+                else:
+                    held.append(i)
             else:
-                buckets[rank] = [i]
+                buckets[rank] = i
                 high = rank >> 8
                 leaves[high] = leaves.get(high, 0) | 1 << (rank & 255)
                 top |= 1 << high
@@ -62,9 +83,13 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         high = (top & -top).bit_length() - 1
         leaf = leaves[high]
         rank = (high << 8) + (leaf & -leaf).bit_length() - 1
-        bucket = buckets[rank]
-        i = heappop(bucket)
-        if not bucket:
+        i = buckets[rank]
+        if i.__class__ is int:
+            held = None
+        else:
+            held = i
+            i = heappop(held)
+        if not held:
             del buckets[rank]
             leaf &= leaf - 1
             leaves[high] = leaf
@@ -75,46 +100,52 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         gone = after[i]
         end = after[gone]
         after[i] = end
+        token[i] = own = rank
         if waiting[gone] >= 0:
             waiting[gone] = -1
             live -= 1
         live -= 1
-        rank = None
+        waiting[i] = -1
         if end < n:
             before[end] = i
-            rank = get(piece[i : after[end]])
-        if rank is None:
-            waiting[i] = -1
-        else:
-            waiting[i] = rank
-            live += 1
-            if rank in buckets:
-                heappush(buckets[rank], i)
-            else:
-                buckets[rank] = [i]
-                high = rank >> 8
-                leaves[high] = leaves.get(high, 0) | 1 << (rank & 255)
-                top |= 1 << high
+            rank = get(own << 32 | token[end])
+            if rank is not None:
+                waiting[i] = rank
+                live += 1
+                if rank in buckets:
+                    held = buckets[rank]
+                    if held.__class__ is int:
+                        buckets[rank] = [held, i] if held < i else [i, held]
+                    else:
+                        heappush(held, i)
+                else:
+                    buckets[rank] = i
+                    high = rank >> 8
+                    leaves[high] = leaves.get(high, 0) | 1 << (rank & 255)
+                    top |= 1 << high
         left = before[i]
         if left >= 0:
             if waiting[left] >= 0:
                 live -= 1
-            rank = get(piece[left:end])
-            if rank is None:
                 waiting[left] = -1
-            else:
+            rank = get(token[left] << 32 | own)
+            if rank is not None:
                 waiting[left] = rank
                 live += 1
                 if rank in buckets:
-                    heappush(buckets[rank], left)
+                    held = buckets[rank]
+                    if held.__class__ is int:
+                        buckets[rank] = [held, left] if held < left else [left, held]
+                    else:
+                        heappush(held, left)
                 else:
-                    buckets[rank] = [left]
+                    buckets[rank] = left
                     high = rank >> 8
                     leaves[high] = leaves.get(high, 0) | 1 << (rank & 255)
                     top |= 1 << high
     out, i = [], 0
     while i < n:
-        out.append(ranks[piece[i : after[i]]])
+        out.append(token[i])
         i = after[i]
     return out
 
@@ -132,7 +163,7 @@ class Encoder:
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.ranks = ranks
+        self.merges = Merges(ranks)
         self.cut = regex.compile(pattern).findall
         self.space = regex.compile(r"\s").match
         self.tokens = {i: token for token, i in ranks.items()}
@@ -142,13 +173,15 @@ class Encoder:
     def _merged(self, pieces: list[str]) -> bytes:
         out: list[int] = []
         for piece in pieces:
-            out += merge(piece.encode(), self.ranks)
+            out += merge(piece.encode(), self.merges)
         return array("i", out).tobytes()
 
     def _missing(self, part: str) -> bytes | None:
         """Ids of the part after a blank; None if they depend on what stands around it."""
         found = self.old.get(part)
-        if found is None:
+        if found is None and part.isalpha():
+            found = self._merged([" " + part])
+        elif found is None:
             if not part or self.space(part[0]) or self.space(part[-1]):
                 return None
             head, *rest = self.cut(" " + part)
@@ -184,8 +217,9 @@ class Encoder:
                     got[i] = found
         return self._merged(self.cut(first)) + b"".join(got)
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids: bytes) -> bytes:
+        """Bytes that 32-bit ids stand for."""
+        return b"".join(map(self.tokens.__getitem__, array("i", ids)))
 
 
 @lru_cache(maxsize=2)
@@ -205,19 +239,20 @@ class Tokenizer:
             self._data = df.sparkSession.sparkContext.broadcast(file.read())
         self._pattern = pattern
 
-    def encode(self, text: Column) -> Column:
-        """Ids of each text, an array of int."""
+    def encode(self, text: Column, decoded: bool = False) -> Column:
+        """A struct with the ``ids`` of each text, an array of int, and their bytes again as ``decoded`` if asked for."""
         data, pattern = self._data, self._pattern
+        fields = [StructField("ids", ArrayType(IntegerType())), StructField("decoded", BinaryType())][: 1 + decoded]
 
-        @F.arrow_udf(ArrayType(IntegerType()))
+        @F.arrow_udf(StructType(fields))
         def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            encode = _encoder(data.value, pattern).encode
+            encoder = _encoder(data.value, pattern)
             for texts in batches:
-                rows = [encode(t.as_py() or "") for t in texts]
-                offsets = np.zeros(len(rows) + 1, dtype=np.int32)
-                np.cumsum([len(r) // 4 for r in rows], out=offsets[1:])
-                values = pa.array(np.frombuffer(b"".join(rows), dtype=np.int32))
-                yield pa.ListArray.from_arrays(pa.array(offsets), values)
+                rows = [encoder.encode(t.as_py() or "") for t in texts]
+                columns = [_lists(rows)]
+                if decoded:
+                    columns.append(pa.array([encoder.decode(r) for r in rows], type=pa.binary()))
+                yield pa.StructArray.from_arrays(columns, fields=[pa.field(f.name, c.type) for f, c in zip(fields, columns, strict=True)])
 
         return encoded(text)
 
@@ -229,13 +264,20 @@ class Tokenizer:
         def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             decode = _encoder(data.value, pattern).decode
             for rows in batches:
-                yield pa.array([decode(r.as_py() or []) for r in rows], type=pa.binary())
+                yield pa.array([decode(r.values.to_numpy().astype(np.int32).tobytes() if r.is_valid else b"") for r in rows], type=pa.binary())
 
         return decoded(ids)
 
 
+def _lists(rows: list[bytes]) -> pa.Array:
+    offsets = np.zeros(len(rows) + 1, dtype=np.int32)
+    np.cumsum([len(r) // 4 for r in rows], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), dtype=np.int32)))
+
+
 def tokenize(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
-    """``df`` with the ids of ``text`` in column ``ids`` and, if named, their bytes again in ``decoded``."""
-    tokenizer = Tokenizer(df, path, pattern)
-    out = df.withColumn(ids, tokenizer.encode(F.col(text)))
-    return out if decoded is None else out.withColumn(decoded, tokenizer.decode(F.col(ids)))
+    """``df`` with the ids of ``text`` in column ``ids`` and, if named, the bytes these stand for in ``decoded``."""
+    coded = Tokenizer(df, path, pattern).encode(F.col(text), decoded is not None)
+    out = df.withColumn("_coded", coded)
+    out = out.withColumn(ids, F.col("_coded.ids"))
+    return (out if decoded is None else out.withColumn(decoded, F.col("_coded.decoded"))).drop("_coded")
