@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, quality, toxicity
+from . import bpe, decontaminate, jaccard, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -87,3 +87,9 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
     ids = F.array_join("items", ",").cast("binary")
     return marked.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), "contaminated")
+
+
+@query()
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and group of every document, at 80 % of shared five-word shingles."""
+    return jaccard.groups(table(spark, sf_dir, "documents"))
