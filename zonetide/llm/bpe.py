@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 # Entries of each of the two generations of a worker's cache; the oldest generation goes when the younger is full.
 CACHE_ENTRIES = 600_000
@@ -256,6 +256,18 @@ class Tokenizer:
 
         return encoded(text)
 
+    def count(self, text: Column) -> Column:
+        """How many ids each text has, without sending them back."""
+        data, pattern = self._data, self._pattern
+
+        @F.arrow_udf(LongType())
+        def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            encode = _encoder(data.value, pattern).encode
+            for texts in batches:
+                yield pa.array([len(encode(t.as_py() or "")) // 4 for t in texts], type=pa.int64())
+
+        return counted(text)
+
     def decode(self, ids: Column) -> Column:
         """Bytes of each array of ids."""
         data, pattern = self._data, self._pattern

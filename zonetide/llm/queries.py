@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, jaccard, quality, toxicity
+from . import bpe, chunks, decontaminate, jaccard, quality, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -93,3 +93,17 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and group of every document, at 80 % of shared five-word shingles."""
     return jaccard.groups(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The histogram of encoded lengths of all documents, with suffix sums and totals truncated at each length."""
+    docs = table(spark, sf_dir, "documents").select("text")
+    tokenizer = bpe.Tokenizer(docs, VOCABULARY, public_tokenizers.PATTERN)
+    return token_counts.suffix_sums(token_counts.histogram(docs, tokenizer.count(F.col("text"))))
+
+
+@query()
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of every document that other documents have too, and where each was first."""
+    return chunks.repeated_passages(table(spark, sf_dir, "documents"))
