@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
+from .shipped import ship
+
 # Entries of each of the two generations of a worker's cache; the oldest generation goes when the younger is full.
 CACHE_ENTRIES = 600_000
 
@@ -235,6 +237,7 @@ class Tokenizer:
     """
 
     def __init__(self, df: DataFrame, path: str, pattern: str) -> None:
+        ship(df.sparkSession)
         with open(path, "rb") as file:
             self._data = df.sparkSession.sparkContext.broadcast(file.read())
         self._pattern = pattern

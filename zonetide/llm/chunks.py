@@ -23,12 +23,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .shipped import ship
 from .stored import stored
 
 # Words of whole chunks a passage has at least. Passages of more than 50 words lose about 10 at their ends.
-LEAST_WORDS = 30
+LEAST_WORDS = 28
 # One byte in so many ends a chunk, and the bytes after which a chunk ends in any case.
-RATE = 20
+RATE = 14
 LONGEST = 1024
 CHUNK_BYTES = 8_000_000
 
@@ -189,6 +190,7 @@ def repeated_passages(documents: DataFrame, least_words: int = LEAST_WORDS, doc_
     ``start`` counts bytes of the UTF-8 text. ``first_doc_id`` is the smallest id that has (most of) the passage: there it stays.
     """
     spark = documents.sparkSession
+    ship(spark)
     bits = max(4, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     texts = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL")
     packed = texts.mapInArrow(_cut(bits), "part int, rows binary")

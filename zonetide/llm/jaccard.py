@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import components
+from .shipped import ship
 from .stored import stored
 
 SHINGLE_WORDS = 5
@@ -238,6 +239,7 @@ def _across(lists: DataFrame, alike: tuple[int, int]) -> DataFrame:
 def groups(documents: DataFrame, shingle: int = SHINGLE_WORDS, alike: tuple[int, int] = ALIKE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``documents``."""
     spark = documents.sparkSession
+    ship(spark)
     # as many ranges as the session has shuffle partitions, up to a power of two: partitions are what users size to the data
     bits = max(4, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     packed = documents.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(_pack_texts(shingle, bits), _PACKED)

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .labelled import labelled_sample
+from .shipped import ship
 
 # Labelled documents to fit on, by class.
 SAMPLE = {0: 3000, 1: 3000}
@@ -200,6 +201,7 @@ def fit(rows: np.ndarray, labels: np.ndarray, directions: np.ndarray, trees: int
 
 def fit_quality(documents: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None) -> Trees:
     """Trees for ``quality`` from a bounded sample of labelled documents; without any, all documents score 0.5."""
+    ship(documents.sparkSession)
     texts = labelled_sample(documents, labels, "quality", sample or SAMPLE)
     got = texts.select(features(statistics(F.col("text"))).alias("x"), "quality", "doc_id").toPandas().sort_values("doc_id")
     rows = np.array(got["x"].tolist(), dtype=float).reshape(-1, len(FEATURES))
@@ -219,6 +221,7 @@ def score(trees: Trees, inputs: Column) -> Column:
 
 def assess(documents: DataFrame, trees: Trees, at_least: float = 0.5) -> DataFrame:
     """``documents`` with ``_stats``, ``base_failed``, ``quality_score`` and ``kept``."""
+    ship(documents.sparkSession)
     out = documents.withColumn("_stats", statistics(F.col("text")))
     out = out.withColumns({"base_failed": base_failed(F.col("_stats")), "quality_score": score(trees, features(F.col("_stats")))})
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality_score") >= at_least))

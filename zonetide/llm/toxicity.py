@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
 from .labelled import labelled_sample
+from .shipped import ship
 
 # Labelled documents to fit on, by class, and the longest text among them.
 SAMPLE = {0: 1800, 1: 900}
@@ -194,6 +195,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, where: Column | None =
 
 def score(documents: DataFrame, model: Folded, text: Column) -> Column:
     """Score of each text, 0 to 1. The model (half a megabyte, whatever the data) is sent to the executors once."""
+    ship(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(DoubleType())
