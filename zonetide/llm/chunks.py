@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .shipped import ship
 from .stored import stored
@@ -206,7 +206,7 @@ def without_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     joined = documents.join(spans, F.col(doc_id).cast("long") == F.col("_id"), "left")
     data = F.col(text).cast("binary")
 
-    def step(done: F.Column, span: F.Column) -> F.Column:
+    def step(done: Column, span: Column) -> Column:
         piece = F.substring(data, done["at"] + 1, F.greatest(span["start"].cast("int") - done["at"], F.lit(0)))
         return F.struct(F.concat(done["out"], piece).alias("out"), F.greatest(done["at"], (span["start"] + span["n_bytes"]).cast("int")).alias("at"))
 

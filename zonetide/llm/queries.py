@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chunks, decontaminate, jaccard, quality, token_counts, toxicity
+from . import bpe, chunks, decontaminate, jaccard, pii, quality, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -107,3 +107,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of every document that other documents have too, and where each was first."""
     return chunks.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with pseudonyms in place of personal numbers, dates, addresses and secrets, and how many there were."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return pii.pseudonymised(docs, spark.conf.get("spark.zonetide.pii.key", "a key for trials"), replaced="n_replaced")
