@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chunks, decontaminate, jaccard, pii, quality, token_counts, toxicity
+from . import bpe, chunks, decontaminate, html_text, jaccard, pii, quality, token_counts, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -114,3 +114,58 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with pseudonyms in place of personal numbers, dates, addresses and secrets, and how many there were."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return pii.pseudonymised(docs, spark.conf.get("spark.zonetide.pii.key", "a key for trials"), replaced="n_replaced")
+
+
+@query()
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return pages.select("page_id", "url", html_text.main_text(pages, F.col("html")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def captures(pages: DataFrame) -> DataFrame:
+    """Two records of each page: its fetch, and a later revisit that names the validators of this fetch.
+
+    Later fetches of the same canonical URL may come in between, and then the revisit disagrees with the latest one."""
+    size = F.length(F.coalesce("html", F.lit("")))
+    digest = F.md5(F.coalesce("html", F.lit("")).cast("binary"))
+    at = F.col("page_id") * 10
+    dated = F.concat(F.lit("day "), (F.col("page_id") % 1000).cast("string"))
+    tag = F.when(size % 3 > 0, F.concat(F.lit('"'), F.substring(digest, 1, 8), F.lit('"')))
+    common = {"etag": tag, "last_modified": F.when(size % 5 > 0, dated), "digest": digest}
+    fetched = pages.select(
+        F.concat(F.lit("f"), F.col("page_id").cast("string")).alias("record_id"), "url", at.alias("captured_at"), F.lit("response").alias("kind"),
+        F.when(size % 7 == 0, 404).otherwise(200).alias("status"), *[v.alias(k) for k, v in common.items()],
+        F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("content-length"), size.cast("string"), F.lit("date"), at.cast("string"), F.lit("cache-control"), F.lit("max-age=60")).alias("headers"),
+    )
+    revisit_at = at + 10 * (size % 50) + 5
+    revisited = pages.select(
+        F.concat(F.lit("r"), F.col("page_id").cast("string")).alias("record_id"), "url", revisit_at.alias("captured_at"), F.lit("revisit").alias("kind"),
+        F.lit(304).alias("status"), *[v.alias(k) for k, v in common.items()],
+        F.create_map(F.lit("content-length"), F.lit("0"), F.lit("date"), revisit_at.cast("string"), F.lit("set-cookie"), F.lit("x"), F.lit("vary"), F.lit("accept")).alias("headers"),
+    )
+    return fetched.union(revisited)
+
+
+@query(
+    r"""WITH p AS (SELECT page_id, url, coalesce(html, '') AS h, length(coalesce(html, '')) AS size, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM pages),
+    q AS (SELECT *, md5(h) AS digest, list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), x -> x <> '')) AS args,
+        regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?]*')), ':(80|443)$', ''), '^www\.', '') AS host,
+        regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS path FROM p),
+    c AS (SELECT page_id, host || path || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END AS canonical, size, digest, page_id * 10 AS taken,
+        CASE WHEN size % 3 > 0 THEN '"' || substr(digest, 1, 8) || '"' END AS etag, CASE WHEN size % 5 > 0 THEN 'day ' || (page_id % 1000) END AS modified FROM q),
+    f AS (SELECT * FROM c WHERE size % 7 <> 0),
+    r AS (SELECT *, taken + 10 * (size % 50) + 5 AS again FROM c),
+    j AS (SELECT r.page_id, r.canonical, r.again, f.page_id AS hit, f.size AS hit_size,
+        CASE WHEN f.page_id IS NULL THEN 'orphan' WHEN r.etag IS NOT NULL AND f.etag IS NOT NULL THEN CASE WHEN r.etag = f.etag THEN 'resolved' ELSE 'mismatch' END
+          WHEN r.modified IS NOT NULL AND f.modified IS NOT NULL THEN CASE WHEN r.modified = f.modified THEN 'resolved' ELSE 'mismatch' END
+          WHEN r.digest = f.digest THEN 'resolved' ELSE 'mismatch' END AS outcome
+        FROM r ASOF LEFT JOIN f ON r.canonical = f.canonical AND r.again > f.taken)
+    SELECT 'r' || page_id AS record_id, canonical, again AS captured_at, 'f' || hit AS response_id, outcome,
+      CASE WHEN outcome = 'resolved' THEN 'cache-control: max-age=60' || chr(10) || 'content-length: ' || hit_size || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || again || chr(10) || 'vary: accept'
+        ELSE 'content-length: 0' || chr(10) || 'date: ' || again || chr(10) || 'set-cookie: x' || chr(10) || 'vary: accept' END AS headers FROM j"""
+)
+def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every revisit of a page, the response it stands for, and the merged headers."""
+    found = warc.resolve(captures(table(spark, sf_dir, "pages")))
+    return found.select("record_id", "canonical", "captured_at", "response_id", "outcome", warc.header_lines(F.col("headers")).alias("headers"))
