@@ -1,18 +1,68 @@
-"""The training-text pipeline: stages over ``documents``, each written as Parquet and read again by the next."""
+"""The training-text pipeline: stages over ``documents``, each written as Parquet and read again by the next.
+
+Every stage but the last returns the columns of ``documents`` for the rows it keeps.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from zonetide.llm import bpe, decontaminate, jaccard, pii, quality
+from zonetide.llm.stored import stored
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the trees; these are fitted on labelled documents of the table as given."""
+    trees = quality.fit_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return quality.assess(docs, trees).filter("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id."""
+    groups = jaccard.groups(docs)
+    # the dropped ids are the smaller side: most documents are in no group
+    dropped = stored(groups.filter("doc_id <> component_id").select("doc_id"), "dropped-ids")
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't contaminated by the benchmark."""
+    marked = decontaminate.contamination(docs, _table(spark, sf_dir, "benchmark"))
+    return marked.filter(~F.col("contaminated")).select(*docs.columns)
+
+
+def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with pseudonyms in place of personal data; ``n_chars`` follows the text."""
+    out = pii.pseudonymised(docs, spark.conf.get("spark.zonetide.pii.key", "a key for trials"))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every document."""
+    coded = bpe.tokenize(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
 
-STAGES: list = []
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontaminated),
+    ("PII", pseudonyms),
+    ("byte-level BPE", encoded),
+]
 
-# Scores of trained trees and BPE merges have no SQL form; tests hold the rows against a brute-force version.
+# Scores of trained trees, pseudonyms and BPE merges have no SQL form; tests hold the rows against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order, from the table ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages in order, from the table ``documents``; each result but the last is stored in the shared folder."""
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.lower().replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

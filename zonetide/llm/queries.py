@@ -149,7 +149,7 @@ def captures(pages: DataFrame) -> DataFrame:
 
 @query(
     r"""WITH p AS (SELECT page_id, url, coalesce(html, '') AS h, length(coalesce(html, '')) AS size, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM pages),
-    q AS (SELECT *, md5(h) AS digest, list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), x -> x <> '')) AS args,
+    q AS (SELECT *, md5(h) AS digest, list_sort([x FOR x IN string_split(regexp_extract(rest, '\?(.*)$', 1), '&') IF x <> '']) AS args,
         regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?]*')), ':(80|443)$', ''), '^www\.', '') AS host,
         regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS path FROM p),
     c AS (SELECT page_id, host || path || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END AS canonical, size, digest, page_id * 10 AS taken,
