@@ -23,9 +23,9 @@ def utc_now(now: Now = None) -> datetime:
 
 def parse_utc(value: Column | str) -> Column:
     """Text timestamp with blank or ``T`` and optional zone; UTC when no zone is given."""
-    text = F.replace(col(value).cast("string"), F.lit(" "), F.lit("T"))
-    zoned = text.rlike(r"[Zz]|[+-]\d\d:?\d\d$")
-    return F.when(zoned, text).otherwise(F.concat(text, F.lit("Z"))).try_cast("timestamp")
+    text = col(value).cast("string")
+    # a second zone is no timestamp, so the first attempt reads only texts without one
+    return F.coalesce(F.concat(text, F.lit("+00:00")).try_cast("timestamp"), text.try_cast("timestamp"))
 
 
 def age_hours(value: Column | str, now: Now = None) -> Column:
