@@ -68,11 +68,15 @@ def statistics_of(text: str | None) -> list[int]:
     return [len(words), chars, chars - spaces, symbols, len(lines), len(lines) - len(set(lines)), repeat_words(codes, len(number)), len(number), upper, marks, exclamations, digits, longest, run]
 
 
+def _measured(texts: pa.Array) -> np.ndarray:
+    """A row of ``STATISTICS`` per text."""
+    return np.array([statistics_of(t.as_py()) for t in texts], dtype=np.int64).reshape(-1, len(STATISTICS))
+
+
 @F.arrow_udf(StructType([StructField(name, LongType()) for name in STATISTICS]))
 def _statistics(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
-        table = np.array([statistics_of(t.as_py()) for t in texts], dtype=np.int64).reshape(-1, len(STATISTICS))
-        yield pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(column)) for column in table.T], names=STATISTICS)
+        yield pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(column)) for column in _measured(texts).T], names=STATISTICS)
 
 
 def statistics(text: Column) -> Column:
@@ -105,10 +109,10 @@ FEATURES: list[tuple[str, str, str, int]] = [
 DIRECTIONS = np.array([d for _, _, _, d in FEATURES])
 
 
-def features(stats: Column) -> Column:
-    """The trees' inputs as an array of doubles."""
-    out = [stats[top].cast("double") if not bottom else stats[top] / F.greatest(stats[bottom], F.lit(1)) for _, top, bottom, _ in FEATURES]
-    return F.array(*out)
+def features(stats: np.ndarray) -> np.ndarray:
+    """The trees' inputs from rows of ``STATISTICS``."""
+    column = dict(zip(STATISTICS, stats.T.astype(float), strict=True))
+    return np.stack([column[top] / np.maximum(column[bottom], 1) if bottom else column[top] for _, top, bottom, _ in FEATURES], axis=1)
 
 
 @dataclass
@@ -203,25 +207,27 @@ def fit_quality(documents: DataFrame, labels: DataFrame, sample: dict[int, int]
     """Trees for ``quality`` from a bounded sample of labelled documents; without any, all documents score 0.5."""
     ship(documents.sparkSession)
     texts = labelled_sample(documents, labels, "quality", sample or SAMPLE)
-    got = texts.select(features(statistics(F.col("text"))).alias("x"), "quality", "doc_id").toPandas().sort_values("doc_id")
-    rows = np.array(got["x"].tolist(), dtype=float).reshape(-1, len(FEATURES))
-    return fit(rows, got["quality"].to_numpy(dtype=float), DIRECTIONS)
+    got = texts.select(statistics(F.col("text")).alias("s"), "quality", "doc_id").select("s.*", "quality", "doc_id").toPandas().sort_values("doc_id")
+    return fit(features(got[STATISTICS].to_numpy(dtype=np.int64)), got["quality"].to_numpy(dtype=float), DIRECTIONS)
 
 
-def score(trees: Trees, inputs: Column) -> Column:
-    """Probability of good quality from an array of ``FEATURES``."""
+def judged(trees: Trees, text: Column) -> Column:
+    """A struct of all ``STATISTICS`` of a text and the ``score`` of the trees, in one pass of one Python worker per task."""
+    fields = [StructField(name, LongType()) for name in STATISTICS] + [StructField("score", DoubleType())]
 
-    @F.arrow_udf(DoubleType())
-    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for rows in batches:
-            yield pa.array(trees.score(rows.flatten().to_numpy().reshape(-1, len(FEATURES))))
+    @F.arrow_udf(StructType(fields))
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            stats = _measured(texts)
+            columns = [pa.array(np.ascontiguousarray(column)) for column in stats.T] + [pa.array(trees.score(features(stats)), type=pa.float64())]
+            yield pa.StructArray.from_arrays(columns, names=[f.name for f in fields])
 
-    return scored(inputs)
+    return both(text)
 
 
 def assess(documents: DataFrame, trees: Trees, at_least: float = 0.5) -> DataFrame:
     """``documents`` with ``_stats``, ``base_failed``, ``quality_score`` and ``kept``."""
     ship(documents.sparkSession)
-    out = documents.withColumn("_stats", statistics(F.col("text")))
-    out = out.withColumns({"base_failed": base_failed(F.col("_stats")), "quality_score": score(trees, features(F.col("_stats")))})
+    out = documents.withColumn("_stats", judged(trees, F.col("text")))
+    out = out.withColumns({"base_failed": base_failed(F.col("_stats")), "quality_score": F.col("_stats.score")})
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality_score") >= at_least))
