@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bpe, chunks, decontaminate, html_text, jaccard, pii, quality, token_counts, toxicity, warc
+from .stored import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -100,7 +101,9 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The histogram of encoded lengths of all documents, with suffix sums and totals truncated at each length."""
     docs = table(spark, sf_dir, "documents").select("text")
     tokenizer = bpe.Tokenizer(docs, VOCABULARY, public_tokenizers.PATTERN)
-    return token_counts.suffix_sums(token_counts.histogram(docs, tokenizer.count(F.col("text"))))
+    # a row per distinct length; stored, as the sums read it twice and texts are encoded once
+    lengths = stored(token_counts.histogram(docs, tokenizer.count(F.col("text"))), "token-lengths")
+    return token_counts.suffix_sums(lengths)
 
 
 @query()
