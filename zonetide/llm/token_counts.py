@@ -11,7 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BLOCK = 4096
+# Lengths per block: what one task of the inner sums holds at most, and by how much the outer ones are shorter than the longest text.
+BLOCK = 256
 
 
 def histogram(documents: DataFrame, length: Column) -> DataFrame:
@@ -24,7 +25,7 @@ def suffix_sums(lengths: DataFrame) -> DataFrame:
     and ``truncated`` (tokens of all documents if each is cut at L)."""
     rows = lengths.withColumns({"block": F.floor(F.col("length") / BLOCK), "n_tokens": F.col("length") * F.col("n_docs")})
     blocks = rows.groupBy("block").agg(F.sum("n_docs").alias("docs"), F.sum("n_tokens").alias("tokens"))
-    above = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)  # one row per 4096 lengths
+    above = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)  # one row per block of lengths
     later = blocks.select("block", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("docs", "tokens")], *[F.sum(c).over(Window.partitionBy()).alias(f"{c}_all") for c in ("tokens",)])
     inside = Window.partitionBy("block").orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.join(later, "block")
