@@ -25,7 +25,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stru
 
 from .shipped import ship
 
-# Entries of each of the two generations of a worker's cache; the oldest generation goes when the younger is full.
+# Entries of each of the two generations of a task's cache; the oldest generation goes when the younger is full.
 CACHE_ENTRIES = 600_000
 
 
@@ -219,6 +219,10 @@ class Encoder:
                     got[i] = found
         return self._merged(self.cut(first)) + b"".join(got)
 
+    def forget(self) -> None:
+        """Give the room of the cache back; a worker outlives its task and would keep it through other stages."""
+        self.young, self.old = {}, {}
+
     def decode(self, ids: bytes) -> bytes:
         """Bytes that 32-bit ids stand for."""
         return b"".join(map(self.tokens.__getitem__, array("i", ids)))
@@ -256,6 +260,7 @@ class Tokenizer:
                 if decoded:
                     columns.append(pa.array([encoder.decode(r) for r in rows], type=pa.binary()))
                 yield pa.StructArray.from_arrays(columns, fields=[pa.field(f.name, c.type) for f, c in zip(fields, columns, strict=True)])
+            encoder.forget()
 
         return encoded(text)
 
@@ -265,9 +270,10 @@ class Tokenizer:
 
         @F.arrow_udf(LongType())
         def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            encode = _encoder(data.value, pattern).encode
+            encoder = _encoder(data.value, pattern)
             for texts in batches:
-                yield pa.array([len(encode(t.as_py() or "")) // 4 for t in texts], type=pa.int64())
+                yield pa.array([len(encoder.encode(t.as_py() or "")) // 4 for t in texts], type=pa.int64())
+            encoder.forget()
 
         return counted(text)
 
