@@ -66,12 +66,12 @@ FAR = b"<p>" + b"x" * 4096 + b" parked domain pricing"
 )
 def test_usage_state(spark, status, content_type, body, error, usage, product):
     response = spark.createDataFrame([("a.com", status, content_type, bytearray(body) if body is not None else None, error)], HTTP_RESPONSES)
-    assert rows(probes.http_usage(response).select("usage_state", "product_state")) == [(usage, product)]
+    assert rows(probes.http_usage(response, body_limit=4096).select("usage_state", "product_state")) == [(usage, product)]
 
 
-def test_whole_body_on_request(spark):
+def test_whole_body_by_default(spark):
     response = spark.createDataFrame([("a.com", 200, "text/html", bytearray(FAR), None)], HTTP_RESPONSES)
-    assert rows(probes.http_usage(response, body_limit=None).select("usage_state")) == [("parked_or_placeholder",)]
+    assert rows(probes.http_usage(response).select("usage_state")) == [("parked_or_placeholder",)]
 
 
 NAMES = [

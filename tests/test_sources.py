@@ -112,13 +112,14 @@ def test_corpus_sources(spark, tmp_path):
     twice = lines(spark, '{"AAPL":"Old.com","aapl":"New.com"}')
     assert rows(companies.domain_overrides(twice)) == [("aapl", "new.com")]
     assert ("77", "https://www.bycik.org/x") in rows(companies.domain_overrides(companies.read_document(spark, overrides)))
-    assert rows(companies.read_site_ranks(spark, ranks, "2026-10")) == [
+    assert rows(companies.read_site_ranks(spark, ranks, "2026-10", limit=10_000)) == [
         ("example.com", "2026-10", 2), ("example.com", "2026-10", 4), ("google.com", "2026-10", 1),
     ]
+    assert "far.com" in {r.domain for r in companies.read_site_ranks(spark, ranks, "2026-10").collect()}  # no limit unless asked for
 
 
 def test_corpus(spark, tmp_path):
-    built = corpus_from_files(spark, *_files(tmp_path), "2026-10")
+    built = corpus_from_files(spark, *_files(tmp_path), "2026-10", rank_limit=10_000)
     found = {r.canonical_domain: r for r in built.companies.collect()}
     assert set(found) == {"aapl.com", "google.com", "brkb.com", "bycik.org", "example.com"}
     assert found["google.com"].ticker == "GOOGL"
@@ -137,7 +138,7 @@ def test_corpus_options(spark, tmp_path):
         companies.ticker_rows(doc(spark, tickers)),
         companies.domain_overrides(doc(spark, overrides)),
         companies.index_tickers(doc(spark, page)),
-        companies.read_site_ranks(spark, ranks, "2026-10"),
+        companies.read_site_ranks(spark, ranks, "2026-10", limit=10_000),
         stored,
         normalize_class=True,
     )

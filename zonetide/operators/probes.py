@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.fixed import (
-    INSPECTED_BODY_BYTES,
     PARKING_PHRASES,
     PRODUCT_ACTIVE,
     PRODUCT_PHRASES,
@@ -51,7 +50,7 @@ def resolve(verdicts: DataFrame, keys: list[str] | None = None) -> DataFrame:
     )
 
 
-def body_text(body: Column, is_binary: bool, limit: int | None = INSPECTED_BODY_BYTES) -> Column:
+def body_text(body: Column, is_binary: bool, limit: int | None = None) -> Column:
     """Inspected part of a body as text, bytes that are no UTF-8 dropped. No limit: all of it."""
     raw = body if is_binary else F.encode(body, "UTF-8")
     if limit is None and not is_binary:
@@ -63,7 +62,7 @@ def body_text(body: Column, is_binary: bool, limit: int | None = INSPECTED_BODY_
 
 def http_usage(
     responses: DataFrame,
-    body_limit: int | None = INSPECTED_BODY_BYTES,
+    body_limit: int | None = None,
     parking: Iterable[str] = tuple(PARKING_PHRASES),
     product: Iterable[str] = tuple(PRODUCT_PHRASES),
 ) -> DataFrame:

@@ -39,14 +39,14 @@ def build_corpus(
 
 
 def corpus_from_files(
-    spark: SparkSession, tickers: str, overrides: str, index_page: str, ranks: str, snap_month: str
+    spark: SparkSession, tickers: str, overrides: str, index_page: str, ranks: str, snap_month: str, rank_limit: int | None = None
 ) -> Corpus:
     doc = companies.read_document
     return build_corpus(
         companies.ticker_rows(doc(spark, tickers)),
         companies.domain_overrides(doc(spark, overrides)),
         companies.index_tickers(doc(spark, index_page)),
-        companies.read_site_ranks(spark, ranks, snap_month),
+        companies.read_site_ranks(spark, ranks, snap_month, rank_limit),
     )
 
 

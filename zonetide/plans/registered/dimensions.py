@@ -192,7 +192,7 @@ def company_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """WITH s AS (SELECT o_custkey, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM orders GROUP BY o_custkey),
     r AS (SELECT 'customer-' || o_custkey || '.com' AS domain, row_number() OVER (ORDER BY cents DESC, o_custkey) AS rank FROM s)
-    SELECT domain, rank, rank <= 100 AS top100, rank <= 1000 AS top1000, rank <= 10000 AS top10000 FROM r WHERE rank <= 10000"""
+    SELECT domain, rank, rank <= 100 AS top100, rank <= 1000 AS top1000, rank <= 10000 AS top10000 FROM r"""
 )
 def rank_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     spend = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(

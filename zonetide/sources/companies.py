@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.fixed import INDEX_TABLE_PATTERN, RANK_LIMIT, TICKER_LINK_PATTERN
+from ..functions.fixed import INDEX_TABLE_PATTERN, TICKER_LINK_PATTERN
 from ..functions.numbers import integer_or_null
 from ..functions.text import normalize_domain, strip
 
@@ -42,8 +42,8 @@ def index_tickers(documents: DataFrame, column: str = "value") -> DataFrame:
     ).distinct()
 
 
-def site_ranks(rows: DataFrame, snap_month: Column | str, limit: int = RANK_LIMIT) -> DataFrame:
-    """(domain, snap_month, rank) for ranks up to ``limit``, from text ``rank`` and ``domain``."""
+def site_ranks(rows: DataFrame, snap_month: Column | str, limit: int | None = None) -> DataFrame:
+    """(domain, snap_month, rank) from text ``rank`` and ``domain``; only ranks up to ``limit`` if one is given."""
     month = F.lit(snap_month) if isinstance(snap_month, str) else snap_month
     return (
         rows.select(
@@ -51,12 +51,12 @@ def site_ranks(rows: DataFrame, snap_month: Column | str, limit: int = RANK_LIMI
             month.alias("snap_month"),
             integer_or_null("rank").alias("rank"),
         )
-        .filter(F.col("rank") <= limit)
+        .filter(F.col("rank").isNotNull() if limit is None else F.col("rank") <= limit)
         .filter(F.coalesce(F.col("domain"), F.lit("")) != "")
     )
 
 
-def read_site_ranks(spark: SparkSession, path: str, snap_month: str, limit: int = RANK_LIMIT) -> DataFrame:
+def read_site_ranks(spark: SparkSession, path: str, snap_month: str, limit: int | None = None) -> DataFrame:
     """Headerless ``rank,domain`` CSV."""
     rows = spark.read.schema("rank string, domain string").csv(path)
     return site_ranks(rows, snap_month, limit)
