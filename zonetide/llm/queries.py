@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chunks, decontaminate, html_text, jaccard, pii, quality, token_counts, toxicity, warc
+from . import bpe, chunks, decontaminate, html_text, jaccard, merkle, mixing, pii, prefix_trie, quality, token_counts, toxicity, warc
 from .stored import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -172,3 +172,79 @@ def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every revisit of a page, the response it stands for, and the merged headers."""
     found = warc.resolve(captures(table(spark, sf_dir, "pages")))
     return found.select("record_id", "canonical", "captured_at", "response_id", "outcome", warc.header_lines(F.col("headers")).alias("headers"))
+
+
+# CRC-32 of the decimal text of {0}: a table of 256 remainders, then a step for each character
+_CRC_TABLE = "crc AS (SELECT list_transform(range(0, 256), lambda n: list_reduce(list_prepend(n, range(0, 8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tbl)"
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    texts = ("CAST(doc_id AS VARCHAR)", "source", "lang", f"CAST({n_chars} AS VARCHAR)", "text")
+    return "sha256(" + " || ".join(f"coalesce(strlen({x}) || ':' || {x}, '-')" for x in texts) + ")"
+
+
+def _levels_sql(name: str, anchor: str) -> str:
+    """Levels of the trees whose leaves are (tree, k, pos, digest, n), and the climb from its leaves (id, tree, k, pos, n, folded, proof)."""
+    return f"""{name}(tree, k, pos, digest, n) AS ({anchor} UNION ALL
+      SELECT tree, k + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (n + 1) // 2 FROM {name} WHERE n > 1 GROUP BY tree, k, pos // 2, n)"""
+
+
+def _climb_sql(name: str, levels: str, anchor: str) -> str:
+    return f"""{name}(id, tree, k, pos, n, folded, proof) AS ({anchor} UNION ALL
+      SELECT id, c.tree, c.k + 1, c.pos // 2, (c.n + 1) // 2, sha256(CASE WHEN c.pos & 1 = 1 THEN digest || folded ELSE folded || coalesce(digest, '') END), proof || coalesce(digest, '')
+      FROM {name} c LEFT JOIN {levels} s ON s.tree IS NOT DISTINCT FROM c.tree AND s.k = c.k AND s.pos = xor(c.pos, 1) WHERE c.n > 1)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_CRC_TABLE},
+    d AS (SELECT row_number() OVER () AS id, doc_id, lang, {_leaf_sql("n_chars")} AS leaf, CASE WHEN {_CRC.format("doc_id")} % 7 = 0 THEN {_leaf_sql("(n_chars + 1)")} END AS other FROM documents, crc),
+    l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d),
+    {_levels_sql("lv", "SELECT lang, 0, pos, leaf, n FROM l")},
+    s AS (SELECT tree AS lang, digest AS subroot, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM lv WHERE n = 1),
+    {_levels_sql("top", "SELECT 0, 0, pos, subroot, n FROM s")},
+    {_climb_sql("low", "lv", "SELECT id, lang, 0, pos, n, coalesce(other, leaf), '' FROM l")},
+    {_climb_sql("high", "top", "SELECT low.id, 0, 0, s.pos, s.n, low.folded, low.proof FROM low JOIN s ON s.lang IS NOT DISTINCT FROM low.tree WHERE low.n = 1")}
+    SELECT doc_id, leaf, subroot, r.digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = r.digest AS verified
+    FROM l JOIN high ON high.id = l.id AND high.n = 1 JOIN s ON s.lang IS NOT DISTINCT FROM l.lang, (SELECT digest FROM top WHERE n = 1) r"""
+)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proof of every document, and the root that it gives with some documents' n_chars tampered with."""
+    docs = table(spark, sf_dir, "documents")
+    values = ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = merkle.leaf_digest([F.col(v) + 1 if v == "n_chars" else F.col(v) for v in values])
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, changed)
+    nodes = merkle.manifest(docs, values, "lang", "doc_id", tampered)
+    shown = [F.lower(F.hex(c)).alias(c) for c in ("leaf", "subroot", "root")]
+    proof = F.sha2(F.lower(F.hex("proof")).cast("binary"), 256).alias("proof_sha256")
+    return nodes.select("doc_id", *shown, proof, F.lower(F.hex("folded_root")).alias("folded_root"), (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query()
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all sources takes of every document."""
+    docs = table(spark, sf_dir, "documents")
+    mixed, draws = mixing.mix(docs, mixing.words_in(F.col("text")))
+    return mixing.taken(mixed, draws).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query(
+    f"""WITH {_CRC_TABLE},
+    t AS (SELECT conv_id, list(struct_pack(r := r, x := x) ORDER BY turn NULLS FIRST, substr(sha256(strlen(r) || ':' || r || x), 1, 32)) AS l
+          FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL) GROUP BY conv_id),
+    h AS (SELECT conv_id, l, {_CRC.format("conv_id")} % 9 AS h FROM t, crc),
+    c AS (SELECT h.conv_id, list_concat(coalesce(b.l[1:h], []), h.l[h + 1:]) AS l FROM h LEFT JOIN t b ON b.conv_id = h.conv_id - h.conv_id % 5),
+    m AS (SELECT conv_id, len(l) AS n, unnest(range(0, len(l) + 1)) AS d, l FROM c),
+    p AS (SELECT l[1:d] AS pre, any_value(d) AS d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CASE WHEN n = d THEN conv_id END, ',' ORDER BY conv_id), '') AS ends FROM m GROUP BY 1),
+    k AS (SELECT pre[1:d - 1] AS pre, count(*) AS n_children FROM p WHERE d > 0 GROUP BY 1),
+    u AS (SELECT q.pre[1:a] AS pre, count(*) FILTER (k.pre IS NULL) AS n_leaves, sum(CASE WHEN d > 0 THEN (n_convs - 1) * strlen(q.pre[d].x) ELSE 0 END) AS saved
+          FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM p) q LEFT JOIN k ON k.pre = q.pre GROUP BY 1)
+    SELECT p.conv_id, p.d AS depth, o.conv_id AS parent_conv_id, p.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(p.ends) AS ends_sha256
+    FROM p JOIN u ON u.pre = p.pre LEFT JOIN k ON k.pre = p.pre LEFT JOIN p o ON p.d > 0 AND o.pre = p.pre[1:p.d - 1]"""
+)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, each rebuilt from the first turns of another one and its own later ones."""
+    turns = prefix_trie.turn_rows(table(spark, sf_dir, "conversations"))
+    nodes = prefix_trie.trie(*prefix_trie.rebuilt(turns))
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return nodes.select(*nodes.columns[:-1], F.coalesce("ends", nothing).alias("ends_sha256"))
