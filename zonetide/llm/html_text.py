@@ -16,7 +16,7 @@ browsers do for the common cases; nesting has no depth limit. Repeated rows give
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -41,6 +41,8 @@ ENDS_P = BLOCKS - {"br", "body", "html", "tbody", "td", "tfoot", "th", "thead",
 ENDS_ITEM = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+# What a page may end inside of.
+UNENDED = re.compile(r"<(?:[!?]|/?[a-zA-Z])")
 # White space of HTML and what \s has beyond it, no-break spaces included.
 SPACE = re.compile(r"\s+")
 
@@ -62,10 +64,15 @@ class Tree:
 
 
 class _Builder(HTMLParser):
+    """Nodes from tags as browsers would nest them; a step takes the same time however many elements are open."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.tree = Tree([-1], ["#page"], [""], [None], [False], [None])
         self.open = [0]
+        # depths of the open elements by tag, of blocks, and of blocks that aren't paragraphs
+        self.depths: dict[str, list[int]] = {}
+        self.blocks, self.bounds = [0], [0]
 
     def _add(self, tag: str, names: str, text: str | None, hidden: bool, marked: bool | None) -> int:
         t = self.tree
@@ -78,45 +85,63 @@ class _Builder(HTMLParser):
         t.marked.append(t.marked[up] if marked is None else marked)
         return len(t.tag) - 1
 
-    def _close_until(self, tags: set[str], stop: frozenset) -> None:
-        for depth in range(len(self.open) - 1, 0, -1):
-            tag = self.tree.tag[self.open[depth]]
-            if tag in tags:
-                del self.open[depth:]
-                return
-            if tag in stop:
-                return
+    def _open(self, tag: str, node: int) -> None:
+        depth = len(self.open)
+        self.open.append(node)
+        self.depths.setdefault(tag, []).append(depth)
+        if tag in BLOCKS:
+            self.blocks.append(depth)
+            if tag != "p":
+                self.bounds.append(depth)
+
+    def _close(self, depth: int) -> None:
+        """Close the element at a depth and all inside it."""
+        while len(self.open) > depth:
+            tag = self.tree.tag[self.open.pop()]
+            self.depths[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
+                if tag != "p":
+                    self.bounds.pop()
+
+    def _innermost(self, tags: Iterable[str]) -> int:
+        return max((self.depths[tag][-1] for tag in tags if self.depths.get(tag)), default=0)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in ENDS_P:
-            self._close_until({"p"}, BLOCKS - {"p"})
-        if tag in ENDS_ITEM:
-            self._close_until(ENDS_ITEM[tag], SCOPES)
+        if tag in ENDS_P and (depth := self._innermost(("p",))) > self.bounds[-1]:
+            self._close(depth)
+        if tag in ENDS_ITEM and (depth := self._innermost(ENDS_ITEM[tag])) > self._innermost(SCOPES):
+            self._close(depth)
         given = dict(attrs)
         names = " ".join(given.get(k) or "" for k in ("class", "id", "role", "aria-label", "itemprop")).lower()
         hidden = tag in SILENT or "hidden" in given or "display:none" in (given.get("style") or "").replace(" ", "").lower()
         mark = given.get("data-content")
         node = self._add(tag, names, None, hidden, None if mark is None else mark == "1")
         if tag not in VOID:
-            self.open.append(node)
+            self._open(tag, node)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in VOID:
-            return
-        for depth in range(len(self.open) - 1, 0, -1):
-            own = self.tree.tag[self.open[depth]]
-            if own == tag:
-                del self.open[depth:]
-                return
-            if tag in INLINE and own in BLOCKS:
-                return
+        depth = self._innermost((tag,))
+        if depth and not (tag in INLINE and self.blocks[-1] > depth):
+            self._close(depth)
 
     def handle_data(self, data: str) -> None:
         self._add("#text", "", data, False, None)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """``<![..``, whatever follows, is a comment up to the next ``>``."""
+        end = self.rawdata.find(">", i + 3)
+        return end + 1 if end >= 0 else -1
+
+    def close(self) -> None:
+        # a comment, declaration or tag that the page doesn't end is no text
+        if UNENDED.match(self.rawdata):
+            self.rawdata = ""
+        super().close()
+
 
 def parse(html: str | None) -> Tree:
     """The nodes of a page."""

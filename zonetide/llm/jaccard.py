@@ -44,10 +44,10 @@ ORDERS = 3
 # Width of a size class in the join of candidates: sizes within about 2 %.
 SIZE_CLASSES = 50
 
-_PACKED = "part int, doc_id bigint, key bigint, n int, keys binary, counts binary, shingles binary, grades binary"
-_SETS = "doc_id bigint, key bigint, n int, shingles array<bigint>, second array<bigint>, third array<bigint>, prefix int"
-_PACKED_ARROW = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int32())] + [(c, pa.binary()) for c in ("keys", "counts", "shingles", "grades")])
-_SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int32())] + [(c, pa.list_(pa.int64())) for c in ("shingles", "second", "third")] + [("prefix", pa.int32())])
+_PACKED = "part int, doc_id bigint, mark bigint, key bigint, n int, keys binary, counts binary, shingles binary, grades binary"
+_SETS = "doc_id bigint, mark bigint, key bigint, n int, shingles array<bigint>, second array<bigint>, third array<bigint>, prefix int"
+_PACKED_ARROW = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("key", pa.int64()), ("n", pa.int32())] + [(c, pa.binary()) for c in ("keys", "counts", "shingles", "grades")])
+_SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("key", pa.int64()), ("n", pa.int32())] + [(c, pa.list_(pa.int64())) for c in ("shingles", "second", "third")] + [("prefix", pa.int32())])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -71,6 +71,11 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     return np.unique(out)
 
 
+def text_hash(text: str | None) -> int | None:
+    """What Spark's ``xxhash64`` gives for a text; null for null."""
+    return None if text is None else int(np.uint64(xxhash.xxh64_intdigest(text.encode(), seed=42)).astype(np.int64))
+
+
 def _key(hashes: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -103,7 +108,7 @@ def _pack_texts(size: int, bits: int):
     """Step 1: rows of documents, and shingles by hash range."""
 
     def flush(ids: list, sets: dict[int, np.ndarray]) -> pa.RecordBatch:
-        rows = [{"part": k & ((1 << bits) - 1) if n else 0, "doc_id": d, "key": k if n else None, "n": n} for d, k, n in ids]
+        rows = [{"part": k & ((1 << bits) - 1) if n else 0, "doc_id": d, "mark": m, "key": k if n else None, "n": n} for d, m, k, n in ids]
         if sets:
             hashes = np.concatenate(list(sets.values()))
             keys = np.repeat(np.fromiter(sets, dtype=np.int64, count=len(sets)), [len(s) for s in sets.values()])
@@ -120,7 +125,7 @@ def _pack_texts(size: int, bits: int):
                 text = text.as_py()
                 hashes = shingle_hashes(text, size)
                 key = _key(hashes)
-                ids.append((doc_id, key, len(hashes)))
+                ids.append((doc_id, text_hash(text), key, len(hashes)))
                 if len(hashes):
                     sets[key] = hashes
                 chars += len(text or "")
@@ -185,7 +190,7 @@ def _sets(alike: tuple[int, int]):
         order = np.argsort(keys, kind="stable")
         keys, shingles, grades = keys[order], shingles[order], grades[order]
         starts = np.append(_runs(keys), len(keys)).astype(np.int64)
-        rows = [{"doc_id": d, "key": k, "n": n} for d, k, n in zip(docs["doc_id"].to_pylist(), docs["key"].to_pylist(), docs["n"].to_pylist(), strict=True)]
+        rows = docs.select(["doc_id", "mark", "key", "n"]).to_pylist()
         for a, b in zip(starts.tolist(), starts[1:].tolist()):
             key = int(keys[a])
             n = size[key]
@@ -236,8 +241,10 @@ def _across(lists: DataFrame, alike: tuple[int, int]) -> DataFrame:
     return large.join(small, on).select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
 
 
-def groups(documents: DataFrame, shingle: int = SHINGLE_WORDS, alike: tuple[int, int] = ALIKE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``documents``."""
+def groups(documents: DataFrame, shingle: int = SHINGLE_WORDS, alike: tuple[int, int] = ALIKE, doc_id: str = "doc_id", text: str = "text", mark: str | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``documents``.
+
+    Where ids repeat, ``mark`` names a further column that has the text's ``xxhash64``, so a row can be told from others of its id."""
     spark = documents.sparkSession
     ship(spark)
     # as many ranges as the session has shuffle partitions, up to a power of two: partitions are what users size to the data
@@ -245,7 +252,7 @@ def groups(documents: DataFrame, shingle: int = SHINGLE_WORDS, alike: tuple[int,
     packed = documents.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(_pack_texts(shingle, bits), _PACKED)
     shared = packed.groupBy("part").applyInArrow(_count_shared(bits), _PACKED)
     found = stored(shared.groupBy("part").applyInArrow(_sets(alike), _SETS), "shingle-sets")
-    rows = found.filter("shingles IS NULL").select("doc_id", "key", F.col("n").cast("long").alias("n_shingles"))
+    rows = found.filter("shingles IS NULL").select("doc_id", "mark", "key", F.col("n").cast("long").alias("n_shingles"))
     sets = found.filter("shingles IS NOT NULL")
 
     lists = sets.select("key", "n", F.size("shingles").alias("m"), F.posexplode(F.slice("shingles", F.lit(1), F.col("prefix"))).alias("at", "shingle"))
@@ -264,4 +271,28 @@ def groups(documents: DataFrame, shingle: int = SHINGLE_WORDS, alike: tuple[int,
     rows = rows.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     names = rows.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("smallest"))
     rows = rows.join(names, "root", "left")
-    return rows.select("doc_id", "n_shingles", F.coalesce("smallest", "doc_id").alias("component_id"))
+    return rows.select("doc_id", "n_shingles", F.coalesce("smallest", "doc_id").alias("component_id"), *([] if mark is None else [F.col("mark").alias(mark)]), *([] if mark is None else [F.col("root").alias("component_key")]))
+
+
+def kept_rows(documents: DataFrame) -> DataFrame:
+    """``documents`` (doc_id, text and other columns) with one row of each group of near duplicates: that of the smallest id.
+
+    A null id comes last; among different texts of the smallest id, the smallest ``xxhash64`` of a text stays, and of rows with equal id and
+    text the one whose columns are the smallest. Rows without shingles are in no group and all stay.
+    """
+    marks = stored(groups(documents, mark="mark"), "near-duplicates").filter("component_key IS NOT NULL")
+    marks = marks.groupBy("component_key", "doc_id", "mark").agg(F.count(F.lit(1)).alias("copies"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
+    best = marks.groupBy("component_key").agg(F.min(order).alias("best"))
+    judged = stored(marks.join(best, "component_key").select("doc_id", "mark", "copies", (order != F.col("best")).alias("dropped")), "near-duplicates")
+    # the rows that go or that have equals are the smaller side: most documents are in no group
+    named = documents.withColumns({"_near_id": F.col("doc_id").cast("long"), "_near_mark": F.xxhash64("text")})
+
+    def same(some: DataFrame):
+        return named["_near_id"].eqNullSafe(some["doc_id"]) & (named["_near_mark"] == some["mark"])
+
+    copied = judged.filter("copies > 1 AND NOT dropped")
+    changed = judged.filter("copies > 1 OR dropped")
+    alone = named.join(changed, same(changed), "left_anti").select(*documents.columns)
+    equal = named.join(copied, same(copied), "left_semi").groupBy("_near_id", "_near_mark").agg(F.min(F.struct(*documents.columns)).alias("_row"))
+    return alone.union(equal.select("_row.*"))

@@ -20,5 +20,6 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_cla
         some = labels.filter(F.col("_label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         picked = some if picked is None else picked.unionAll(some)
     texts = documents.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    # at most sum(per_class) rows of two numbers
-    return texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", F.col("_label").alias(label))
+    # at most sum(per_class) rows of two numbers; of several texts of an id the smallest serves, so that rows are as few as ids
+    found = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "_label").agg(F.min("text").alias("text"))
+    return found.select("doc_id", "text", F.col("_label").alias(label))
