@@ -1,6 +1,11 @@
 """The training-text pipeline: stages over ``documents``, each written as Parquet and read again by the next.
 
 Every stage but the last returns the columns of ``documents`` for the rows it keeps.
+
+Defined results, of all stages: a null or empty text fails the quality rules, so later stages see none of the table's; on their own
+they keep such rows as they are, and the last one gives them no ids. Texts are taken whole, however long. Rows with the same id are told apart by
+their texts; rows with the same id and text are near duplicates of each other. Null ids come last. An empty table stays
+empty. Columns beside doc_id and text are handed on, whatever their names; ``n_chars`` follows the text.
 """
 
 from __future__ import annotations
@@ -16,30 +21,36 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all other columns in one, so that none of their names clashes with a name that a stage gives."""
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *[c for c in docs.columns if c not in ("doc_id", "text")]).alias("_rest"))
+
+
+def _unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*[F.col(c) if c in ("doc_id", "text") else F.col("_rest")[c].alias(c) for c in columns])
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the trees; these are fitted on labelled documents of the table as given."""
     trees = quality.fit_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return quality.assess(docs, trees).filter("kept").select(*docs.columns)
+    return _unpacked(quality.assess(_packed(docs), trees).filter("kept"), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id."""
-    groups = jaccard.groups(docs)
-    # the dropped ids are the smaller side: most documents are in no group
-    dropped = stored(groups.filter("doc_id <> component_id").select("doc_id"), "dropped-ids")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near duplicates one document: that of the smallest id, of the smallest text hash where ids repeat."""
+    return jaccard.kept_rows(docs).select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by the benchmark."""
-    marked = decontaminate.contamination(docs, _table(spark, sf_dir, "benchmark"))
-    return marked.filter(~F.col("contaminated")).select(*docs.columns)
+    marked = decontaminate.contamination(_packed(docs), _table(spark, sf_dir, "benchmark"))
+    return _unpacked(marked.filter(~F.col("contaminated")), docs.columns)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with pseudonyms in place of personal data; ``n_chars`` follows the text."""
-    out = pii.pseudonymised(docs, spark.conf.get("spark.zonetide.pii.key", "a key for trials"))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    out = pii.pseudonymised(_packed(docs), spark.conf.get("spark.zonetide.pii.key", "a key for trials"))
+    return _unpacked(out, docs.columns).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
