@@ -26,7 +26,9 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stru
 from .shipped import ship
 
 # Entries of each of the two generations of a task's cache; the oldest generation goes when the younger is full.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 300_000
+# Characters of texts that are merged together: bounds what a task holds besides one text.
+TOGETHER = 8_000_000
 
 
 class Merges:
@@ -41,6 +43,7 @@ class Merges:
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
                     self.pairs[left << 32 | right] = rank
+        self.table = PairTable(self.pairs)
 
 
 def merge(piece: bytes, merges: Merges) -> list[int]:
@@ -157,11 +160,156 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, data.splitlines()) if token}
 
 
+class PairTable:
+    """The merges as a hash table in arrays: ranks of many pairs at a time."""
+
+    NONE = (1 << 31) - 1  # the token between two pre-tokens, which merges with nothing
+
+    def __init__(self, pairs: dict[int, int]) -> None:
+        self.bits = max(4, (2 * len(pairs)).bit_length())
+        keys = np.fromiter(pairs.keys(), np.uint64, len(pairs))
+        ranks = np.fromiter(pairs.values(), np.int32, len(pairs))
+        self.keys = np.full(1 << self.bits, np.iinfo(np.uint64).max, np.uint64)
+        self.ranks = np.full(1 << self.bits, -1, np.int32)
+        slots = self._slot(keys)
+        while len(keys):
+            free = self.ranks[slots] < 0
+            self.keys[slots[free]], self.ranks[slots[free]] = keys[free], ranks[free]
+            lost = self.keys[slots] != keys  # another pair took the slot
+            keys, ranks, slots = keys[lost], ranks[lost], (slots[lost] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the token that each pair makes, -1 for none."""
+        keys = (left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)
+        slots = self._slot(keys)
+        ranks = self.ranks[slots]
+        on = np.flatnonzero((self.keys[slots] != keys) & (ranks >= 0))
+        while len(on):
+            slots[on] = (slots[on] + 1) & ((1 << self.bits) - 1)
+            ranks[on] = self.ranks[slots[on]]
+            on = on[(self.keys[slots[on]] != keys[on]) & (ranks[on] >= 0)]
+        return ranks
+
+
+class RankQueue:
+    """Buckets of list positions by merge rank, under a two-level bitmap that tells which buckets hold something."""
+
+    def __init__(self) -> None:
+        self.buckets: dict[int, list[np.ndarray]] = {}
+        self.leaves: dict[int, int] = {}
+        self.top = 0
+
+    def push(self, positions: np.ndarray, ranks: np.ndarray) -> None:
+        """Put each position into the bucket of its rank; a rank below 0 is none."""
+        order = np.argsort(ranks, kind="stable")
+        ranks = ranks[order]
+        cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+        starts = [0, *cuts.tolist()]
+        ends = [*starts[1:], len(order)]
+        positions = positions[order]
+        for rank, start, end in zip(ranks[starts].tolist(), starts, ends):
+            if rank < 0:
+                continue
+            held = self.buckets.get(rank)
+            if held is not None:
+                held.append(positions[start:end])
+                continue
+            self.buckets[rank] = [positions[start:end]]
+            high = rank >> 8
+            self.leaves[high] = self.leaves.get(high, 0) | 1 << (rank & 255)
+            self.top |= 1 << high
+
+    def pop(self) -> tuple[int, np.ndarray]:
+        """The lowest rank that has positions, and these, ascending; some may be stale."""
+        high = (self.top & -self.top).bit_length() - 1
+        leaf = self.leaves[high]
+        rank = (high << 8) + (leaf & -leaf).bit_length() - 1
+        self.leaves[high] = leaf & (leaf - 1)
+        if not self.leaves[high]:
+            self.top &= self.top - 1
+        held = self.buckets.pop(rank)
+        return rank, held[0] if len(held) == 1 else np.unique(np.concatenate(held))
+
+
+def merge_all(pieces: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offsets) of many pre-tokens, merged through one rank queue.
+
+    All of them stand in one linked list, with a token that merges with nothing between two. A bucket is merged as a whole: among
+    pairs of one rank, the leftmost of those that overlap. That is what merging one pair at a time comes to, unless a
+    merge makes a pair of a lower rank than its own; pre-tokens where that happens are merged again, one pair at a time.
+    """
+    table = merges.table
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    starts = np.cumsum(sizes + 1) - sizes
+    raw = np.frombuffer(b"\0" + b"\0".join(pieces) + b"\0", np.uint8)
+    token = np.array(merges.single, np.int32)[raw]
+    n = len(token)
+    token[0] = PairTable.NONE
+    token[starts + sizes] = PairTable.NONE
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    waiting = np.full(n, -1, np.int32)
+    waiting[:-1] = table.rank(token[:-1], token[1:])
+    gone, chosen = np.zeros(n, bool), np.zeros(n, bool)
+    gone[0] = True
+    gone[starts + sizes] = True
+    queue, odd = RankQueue(), []
+    queue.push(np.arange(n, dtype=np.int32), waiting)
+    while queue.top:
+        rank, left = queue.pop()
+        left = left[waiting[left] == rank]
+        if not len(left):
+            continue
+        right = after[left]
+        joined = right[:-1] == left[1:]
+        if joined.any():  # x x x: take every other one of a run of overlapping pairs
+            at = np.arange(len(left))
+            run = np.maximum.accumulate(np.where(np.concatenate([[True], ~joined]), at, 0))
+            left = left[(at - run) % 2 == 0]
+            right = after[left]
+        end = after[right]
+        chosen[left] = True
+        beside = chosen[end]  # another pair of this rank follows; it is merged later than this one
+        if beside.any():
+            lower = table.rank(np.full(beside.sum(), rank, np.int32), token[end[beside]])
+            odd.append(left[beside][(lower >= 0) & (lower < rank)])
+        token[left] = rank
+        gone[right] = True
+        waiting[right] = -1
+        after[left] = end
+        before[end] = left
+        ahead = before[left]
+        ahead = ahead[~chosen[ahead]]
+        chosen[left] = False
+        changed = np.concatenate([left, ahead])
+        ranks = table.rank(token[changed], token[after[changed]])
+        waiting[changed] = ranks
+        lower = (ranks >= 0) & (ranks < rank)
+        if lower.any():
+            odd.append(changed[lower])
+        queue.push(changed, ranks)
+    kept = ~gone
+    ids = token[kept]
+    # how many tokens are kept before each piece
+    through = np.concatenate([[0], np.cumsum(kept)])
+    offsets = np.append(through[starts], through[n])
+    again = np.unique(np.searchsorted(starts, np.concatenate([np.zeros(0, np.int32), *odd]), side="right") - 1)
+    if not len(again):
+        return ids, offsets
+    out = [ids[offsets[i] : offsets[i + 1]] for i in range(len(pieces))]
+    for i in again.tolist():
+        out[i] = np.array(merge(pieces[i], merges), np.int32)
+    return np.concatenate(out), np.concatenate([[0], np.cumsum([len(o) for o in out])])
+
+
 class Encoder:
     """Encodes and decodes texts by given ranks; keeps what it has merged, up to a bound.
 
     The cache is keyed by what stands between two single blanks. Such a part, with the blank before it, is cut
     into the same pre-tokens wherever it stands, unless it borders on more white space; a text with that is cut as a whole.
+    What many texts lack in the cache is merged together.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
@@ -172,52 +320,63 @@ class Encoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _merged(self, pieces: list[str]) -> bytes:
-        out: list[int] = []
+    def _pieces(self, part: str) -> list[str] | None:
+        """The pre-tokens of the part after a blank; None if they depend on what stands around it."""
+        if part.isalpha():
+            return [" " + part]
+        return None if not part or self.space(part[0]) or self.space(part[-1]) else self.cut(" " + part)
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as 32-bit integers."""
+        if len(self.young) >= CACHE_ENTRIES:
+            self.old, self.young = self.young, {}
+        known = self.young
+        heads, rests = [], []
+        for text in texts:
+            head, *rest = text.split(" ")
+            alone = not rest or (head and not self.space(head[-1]))
+            heads.append(self.cut(head if alone else text))
+            rests.append(rest if alone else [])
+        missing = set().union(*rests) - known.keys()
+        known.update((part, self.old[part]) for part in missing & self.old.keys())
+        cut = {part: self._pieces(part) for part in missing - known.keys()}
+        loose = {part for part, own in cut.items() if own is None}
+        if loose:
+            for i, rest in enumerate(rests):
+                if not loose.isdisjoint(rest):
+                    heads[i], rests[i] = self.cut(texts[i]), []
+            cut = {part: own for part, own in cut.items() if own is not None}
+        pieces: dict[str, bytes] = dict.fromkeys(piece for own in (*cut.values(), *heads) for piece in own)
+        todo = []
         for piece in pieces:
-            out += merge(piece.encode(), self.merges)
-        return array("i", out).tobytes()
-
-    def _missing(self, part: str) -> bytes | None:
-        """Ids of the part after a blank; None if they depend on what stands around it."""
-        found = self.old.get(part)
-        if found is None and part.isalpha():
-            found = self._merged([" " + part])
-        elif found is None:
-            if not part or self.space(part[0]) or self.space(part[-1]):
-                return None
-            head, *rest = self.cut(" " + part)
-            word = head[1:]
-            if rest and word:
-                found = self.young.get(word) or self.old.get(word) or self._keep(word, self._merged([head]))
-                found += self._merged(rest)
+            raw = piece.encode()
+            whole = self.merges.ranks.get(raw)
+            if whole is None:
+                todo.append((piece, raw))
             else:
-                found = self._merged([head, *rest])
-        return self._keep(part, found)
-
-    def _keep(self, part: str, ids: bytes) -> bytes:
-        if len(part) <= 64:  # long parts are rare and not worth their room
-            if len(self.young) >= CACHE_ENTRIES:
-                self.old, self.young = self.young, {}
-            self.young[part] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a text as 32-bit integers."""
-        if not text:
-            return b""
-        first, *parts = text.split(" ")
-        if parts and (not first or self.space(first[-1])):
-            return self._merged(self.cut(text))
-        got = list(map(self.young.get, parts))
-        if None in got:
-            for i, ids in enumerate(got):
-                if ids is None:
-                    found = self._missing(parts[i])
-                    if found is None:
-                        return self._merged(self.cut(text))
-                    got[i] = found
-        return self._merged(self.cut(first)) + b"".join(got)
+                pieces[piece] = whole.to_bytes(4, "little")
+        if todo:
+            ids, offsets = merge_all([raw for _, raw in todo], self.merges)
+            data, at = ids.astype("<i4").tobytes(), (4 * offsets).tolist()
+            for (piece, _), start, end in zip(todo, at, at[1:]):
+                pieces[piece] = data[start:end]
+        get = pieces.__getitem__
+        for part, own in cut.items():
+            known[part] = get(own[0]) if len(own) == 1 else b"".join(map(get, own))
+        ids = known.__getitem__
+        return [b"".join(map(get, head)) + b"".join(map(ids, rest)) for head, rest in zip(heads, rests)]
+
+    def encode_batches(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text; so many texts are merged together as have ``TOGETHER`` characters, or one."""
+        some, size = [], 0
+        for value in texts:
+            text = value.as_py() or ""
+            if some and size + len(text) > TOGETHER:
+                yield from self.encode_all(some)
+                some, size = [], 0
+            some.append(text)
+            size += len(text)
+        yield from self.encode_all(some)
 
     def forget(self) -> None:
         """Give the room of the cache back; a worker outlives its task and would keep it through other stages."""
@@ -255,7 +414,7 @@ class Tokenizer:
         def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             encoder = _encoder(data.value, pattern)
             for texts in batches:
-                rows = [encoder.encode(t.as_py() or "") for t in texts]
+                rows = list(encoder.encode_batches(texts))
                 columns = [_lists(rows)]
                 if decoded:
                     columns.append(pa.array([encoder.decode(r) for r in rows], type=pa.binary()))
@@ -272,7 +431,7 @@ class Tokenizer:
         def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             encoder = _encoder(data.value, pattern)
             for texts in batches:
-                yield pa.array([len(encoder.encode(t.as_py() or "")) // 4 for t in texts], type=pa.int64())
+                yield pa.array([len(ids) // 4 for ids in encoder.encode_batches(texts)], type=pa.int64())
             encoder.forget()
 
         return counted(text)
