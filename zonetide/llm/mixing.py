@@ -31,6 +31,7 @@ from .stored import stored
 
 BLOCK = 128  # words
 SHARD_WORDS = 1 << 20
+DRAWN_TOGETHER = 1 << 17  # blocks that a task draws, on average
 LEVELS = 6  # of the splitting tree, that one job takes
 ROUNDS = 32  # of the permutation
 WORD = r"[^\x20\x09-\x0D]+"
@@ -205,7 +206,8 @@ def mix(documents: DataFrame, size: Column, source: str = "source", key: str = "
     shards = max(1, -(-blocks * BLOCK // shard_words))
     leaves = split(plan.select(F.col("number").alias("source"), "quota"), shards, blocks, seed)
     facts = plan.join(sources.select("number", "words"), "number").select(F.col("number").alias("source"), "n", "passes", F.col("quota").alias("drawn"), "last", "words")
-    draws = leaves.join(facts, "source")
+    # few rows that each make many: they are dealt out by the number of blocks, not by their own size
+    draws = leaves.join(facts, "source").repartition(-(-max(1, blocks) // DRAWN_TOGETHER))
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -214,6 +216,7 @@ def mix(documents: DataFrame, size: Column, source: str = "source", key: str = "
 
     # a leaf of the tree is a row, its blocks are at most a shard's
     draws = draws.mapInPandas(draw, "shard long, turn long, source long, pass long, block long, takes long")
+    draws = stored(draws, "mix-draws")  # its true size decides how it is joined, not that of the rows it is made from
     joined = sized.join(sources.select("name", F.col("_last").alias("last_name"), "words", "target", "number", "start"), F.col("_source").eqNullSafe(F.col("name")))
     first = F.col("before") - F.col("start")
     out = joined.select("place", F.col("_key").alias(key), F.col("_source").alias(source), F.col("_size").alias("size"), F.col("words").alias("source_size"), "target")

@@ -42,7 +42,8 @@ def running(df: DataFrame, order: list[str], sums: dict[str, str] | None = None,
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + columns, names=[*kept, "_part", *[f"_at{k}" for k in range(len(names))]])
 
     keys = [*order, "_read"]
-    dealt = df.withColumn("_read", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_read")
+    # the ranges are found by reading the rows once more, so what they are made from isn't read for that
+    dealt = stored(df.withColumn("_read", F.monotonically_increasing_id()), f"{name}-rows").repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_read")
     schema = StructType([*df.schema.fields, StructField("_part", IntegerType()), *[StructField(f"_at{k}", LongType()) for k in range(len(names))]])
     fixed = stored(dealt.mapInArrow(totals, schema), name)
     # what each task's rows come to: one row a task
