@@ -4,7 +4,7 @@ import json
 
 from conftest import rows
 
-from zonetide.plans import ledger
+from zonetide.plans import id_index, ledger
 from zonetide.sources.batches import parse_uploads
 from zonetide.streaming import runs, uploads
 
@@ -127,3 +127,77 @@ def test_run_log_over_micro_batches(spark, tmp_path):
     assert rows(runs.run_log(spark, log).select("run_id", "finished_at", "status", "domains_processed", "notes")) == [
         ("a", "t5", "failed", 9, "why"), ("b", None, "running", 0, None),
     ]
+
+
+def length_document(batch, total, *more, run="r"):
+    rows = [{"tld": "com", "length": 3, "total_possible": t, "tracked_count": 1} for t in (total, *more)]
+    return json.dumps({"date": "d", "global": {}, "length_stats": [], "length_stats_by_tld": rows, "run_id": run, "batch_id": batch})
+
+
+def test_last_document_to_arrive_gives_the_total(spark, tmp_path):
+    # one micro-batch of many documents: rows of a document in their order, documents in theirs
+    put(tmp_path / "in", "a.json", *[length_document(str(n), n, 1000 + n) for n in range(50)], length_document("last", 5, 7))
+    tables = take_in(spark, tmp_path)
+    assert rows(tables["length_stats"].drop("updated_at")) == [("overall", "com", 3, 7, 102, 0, 0)]
+
+
+def test_rejected_lines_are_kept(spark, tmp_path):
+    put(tmp_path / "in", "a.json", document("r", "1", 3), "not json", "[1]", '{"date": ""}', '{"date": "d"}', '{"date": "d", "global": {}, "length_stats": 3}', "", "  ")
+    take_in(spark, tmp_path)
+    kept = ledger.read(spark, uploads.rejects_path(str(tmp_path / "stats/v1")))
+    assert dict(map(tuple, kept.select("value", "reason").collect())) == {
+        "[1]": "not an object",
+        "not json": "not JSON",
+        '{"date": "d", "global": {}, "length_stats": 3}': "no list of length_stats",
+        '{"date": "d"}': "no global totals",
+        '{"date": ""}': "no date",
+    }
+
+
+def test_reset_in_place(spark, tmp_path):
+    put(tmp_path / "in", "a.json", document("r", "1", 3), "junk")
+    take_in(spark, tmp_path)
+    uploads.reset_in_place(spark, str(tmp_path / "stats/v1"))
+    put(tmp_path / "in", "b.json", document("r", "1", 4), document("r", "1", 9))
+    tables = take_in(spark, tmp_path)
+    assert rows(tables["global_stats"].drop("updated_at")) == [("2026-01-01", 4, 4)]
+
+
+def test_index_reads_few_files_of_its_own_buckets(spark, tmp_path):
+    index = str(tmp_path / "ids")
+    applied = set()
+    most = 0
+    for epoch in range(70):
+        ids = [(f"run{epoch % 3}", str(epoch * 10 + k)) for k in range(5)]
+        id_index.add(spark.createDataFrame(ids, "run_id string, batch_id string").coalesce(1), index, epoch)
+        applied |= set(ids)
+        found = id_index.segments(spark, index)
+        assert [s.first for s in found] == [0, *[s.last + 1 for s in found[:-1]]] and found[-1].last == epoch
+        most = max(most, len(found))
+    assert most <= (id_index.MERGED - 1) * 3 + 1
+    asked = spark.createDataFrame([("run1", "10"), ("run1", "9999"), ("none", "10")], "run_id string, batch_id string")
+    rows_read = id_index.lookup(asked, index, 70)
+    plan = rows_read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+    assert "In(run_id, [none,run1])" in plan or "In(run_id, [run1,none])" in plan
+    hits = rows_read.join(asked, ["run_id", "batch_id"], "left_semi").select("run_id", "batch_id", "epoch")
+    assert rows(hits) == [("run1", "10", 1)]
+    # a batch tried again doesn't meet its own ids; what it wrote before is replaced
+    assert id_index.lookup(asked, index, 1).join(asked, ["run_id", "batch_id"], "left_semi").isEmpty()
+    everything = id_index._read(spark, index, id_index.segments(spark, index))
+    assert {(r.run_id, r.batch_id) for r in everything.collect()} == applied and everything.count() == len(applied)
+
+
+def test_intake_after_many_epochs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(id_index, "MERGED", 2)
+    for n in range(6):
+        put(tmp_path / "in", f"{n}.json", document("r", str(n), 1), document("r", str(max(0, n - 3)), 100))
+    store = str(tmp_path / "stats/v1")
+    for _ in range(2):
+        stream = uploads.read_uploads(spark, str(tmp_path / "in"), files_per_batch=1)
+        uploads.apply_uploads(stream, store, str(tmp_path / "ck")).awaitTermination()
+        assert rows(uploads.stored_tables(ledger.read(spark, store))["global_stats"].drop("updated_at")) == [("2026-01-01", 6, 6)]
+    # a ledger whose index is gone is indexed anew
+    id_index.clear(spark, uploads.index_path(store))
+    put(tmp_path / "in", "9.json", document("r", "3", 50), document("r", "9", 1))
+    assert rows(take_in(spark, tmp_path)["global_stats"].drop("updated_at")) == [("2026-01-01", 7, 7)]

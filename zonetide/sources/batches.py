@@ -41,24 +41,46 @@ def upload_global(uploads: DataFrame, *carry: str) -> DataFrame:
     )
 
 
-def _rows(uploads: DataFrame, array: str, carry: tuple[str, ...]) -> DataFrame:
-    live = F.filter(F.col(array), lambda r: r.isNotNull())
-    return uploads.select(*carry, F.explode(live).alias("r")).select(*carry, "r.*")
+def upload_rejects(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Lines that are no upload: the text as it came, and what it lacks."""
+    others = [c for c in lines.columns if c != column]
+    document = F.try_parse_json(F.col(column))
+    d = F.from_json(F.col(column), UPLOAD)
+    reason = (
+        F.when(document.isNull(), "not JSON")
+        .when(~F.schema_of_variant(document).startswith("OBJECT"), "not an object")
+        .when(F.coalesce(d["date"], F.lit("")) == "", "no date")
+        .when(d["global"].isNull(), "no global totals")
+        .when(d["length_stats"].isNull(), "no list of length_stats")
+    )
+    blank = F.trim(F.coalesce(F.col(column), F.lit(""))) == ""
+    return lines.select(*others, column, F.when(~blank, reason).alias("reason")).filter(F.col("reason").isNotNull())
+
+
+# Where a row stood in its document, for rows whose order counts.
+PLACE = ["_array", "_pos"]
+
+
+def _rows(uploads: DataFrame, array: str, carry: tuple[str, ...], number: int = 0) -> DataFrame:
+    exploded = uploads.select(*carry, F.lit(number).alias("_array"), F.posexplode(array).alias("_pos", "r"))
+    return exploded.filter(F.col("r").isNotNull()).select(*carry, *PLACE, "r.*")
 
 
 def _counters(*names: str) -> list[Column]:
     return [number_or_zero(n).alias(n) for n in names]
 
 
-def upload_length_rows(uploads: DataFrame, *carry: str) -> DataFrame:
+def upload_length_rows(uploads: DataFrame, *carry: str, placed: bool = False) -> DataFrame:
     """Length rows of both arrays under the fixed ``overall`` snapshot.
 
-    No TLD means ``ALL`` in the first array; rows without a key are no rows of the table.
+    No TLD means ``ALL`` in the first array; rows without a key are no rows of the table. ``placed`` rows also have
+    the columns ``PLACE``: the arrays are applied one after the other, each in its order.
     """
     totals = _rows(uploads, "length_stats", carry).withColumn("tld", or_default("tld", "ALL"))
-    both = totals.unionByName(_rows(uploads, "length_stats_by_tld", carry))
+    both = totals.unionByName(_rows(uploads, "length_stats_by_tld", carry, 1))
     return both.filter(F.col("tld").isNotNull() & F.col("length").isNotNull()).select(
         *carry,
+        *(PLACE if placed else []),
         F.lit("overall").alias("snap_date"),
         "tld",
         "length",
@@ -114,14 +136,14 @@ def row_batches(documents: DataFrame, table: str, column: str = "value") -> tupl
     """(rows, rejects) of ``{rows: [...]}`` documents for one stored table.
 
     Rows need their text keys as texts and their number keys as numbers; null rows, and rows
-    with a missing or blank key, go to the rejects. ``seq`` keeps the order inside a document.
+    with a missing or blank key, go to the rejects. ``seq`` keeps the order inside a document. A document that is no JSON
+    or has no list of rows is a reject as a whole, with its text and no ``seq``.
     """
     policy = POLICIES[table]
     others = [c for c in documents.columns if c != column]
-    exploded = documents.select(
-        *others,
-        F.posexplode(F.from_json(F.col(column), "struct<rows array<variant>>").rows).alias("seq", "r"),
-    )
+    # a list that isn't there, or is none, makes the whole document a reject
+    asked = documents.withColumn("_rows", F.try_variant_get(F.try_parse_json(F.col(column)), "$.rows", "array<variant>"))
+    exploded = asked.filter(F.col("_rows").isNotNull()).select(*others, F.posexplode("_rows").alias("seq", "r"))
     good = F.lit(True)
     for name in policy.text_keys:
         good = good & (_kind(f"$.{name}") == "STRING")
@@ -132,4 +154,6 @@ def row_batches(documents: DataFrame, table: str, column: str = "value") -> tupl
     judged = exploded.withColumn("_good", F.coalesce(good, F.lit(False)))
     rows = judged.filter("_good").select(*others, "seq", *[_value(f).alias(f.name) for f in policy.schema])
     rejects = judged.filter("not _good").select(*others, "seq", F.to_json("r").alias("row"))
-    return rows, rejects
+    blank = F.trim(F.coalesce(F.col(column), F.lit(""))) == ""
+    whole = asked.filter(F.col("_rows").isNull() & ~blank).select(*others, F.lit(None).cast("int").alias("seq"), F.col(column).alias("row"))
+    return rows, rejects.unionByName(whole)

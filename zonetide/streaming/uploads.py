@@ -6,17 +6,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.upsert import POLICIES, fold
-from ..plans import ledger
+from ..plans import id_index, ledger
+from ..plans.id_index import IDS as _IDS
 from ..sources.batches import (
+    PLACE,
     UPLOAD,
     parse_uploads,
     upload_global,
     upload_length_rows,
+    upload_rejects,
     upload_word_rows,
 )
 
-_IDS = ["run_id", "batch_id"]
-LEDGER = f"{UPLOAD}, applied_at timestamp"
+# How documents arrived: what came first within an epoch, and so is applied first.
+ARRIVAL = ["_at", "_file", "_block", "_row"]
+LEDGER = f"{UPLOAD}, _at timestamp, _file string, _block bigint, _row bigint, applied_at timestamp"
 
 
 def has_ids() -> Column:
@@ -65,26 +69,50 @@ def read_uploads(spark: SparkSession, path: str, files_per_batch: int | None = N
     )
 
 
+def index_path(path: str) -> str:
+    """Where the ids applied to the ledger at ``path`` are indexed."""
+    return f"{path}.ids"
+
+
+def rejects_path(path: str) -> str:
+    """Where lines that were no upload are kept, with the reason; an epoch folder each."""
+    return f"{path}.rejects"
+
+
 def apply_uploads(lines: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Append each document's first arrival to the ledger at ``path``.
+    """Append each document's first arrival to the ledger at ``path``, and what is none to its rejects.
 
     The ledger is the record of what was applied: ids and data are written together, under
-    an epoch folder that a retry replaces.
+    an epoch folder that a retry replaces. The ids are then indexed, so that a micro-batch looks up its own ids
+    in a few files instead of reading all; a batch that fails in between is tried again with the same result.
     """
     spark = lines.sparkSession
 
     def step(batch: DataFrame, epoch: int) -> None:
-        arrival = ["_at", "_file", "_block", "_row"]
-        documents = parse_uploads(batch.withColumn("_row", F.monotonically_increasing_id())).filter("valid")
-        # Opened once per micro-batch; the plan below reads the documents several times.
-        documents.persist()
-        applied = ledger.read(batch.sparkSession, path).filter(F.col("epoch") != epoch)
-        fresh = new_uploads(documents, applied, arrival).drop("valid", *arrival)
-        ledger.append(fresh.withColumn("applied_at", F.current_timestamp()), path, epoch)
-        documents.unpersist()
+        session = batch.sparkSession
+        arrived = batch.withColumns({"_row": F.monotonically_increasing_id(), "_line": F.col("value")})
+        # Opened once per micro-batch; the plans below read the documents several times.
+        judged = parse_uploads(arrived).persist()
+        try:
+            documents = judged.filter("valid").drop("valid", "_line")
+            refused = judged.filter("NOT valid").select(*ARRIVAL, F.col("_line").alias("value"))
+            asked = documents.filter(has_ids()).select(*_IDS).distinct()
+            applied = id_index.lookup(asked, index_path(path), epoch)
+            fresh = new_uploads(documents, applied, ARRIVAL)
+            ledger.append(fresh.withColumn("applied_at", F.current_timestamp()), path, epoch)
+            written = ledger.read(session, path).filter(F.col("epoch") == epoch)
+            id_index.add(written.filter(has_ids()).select(*_IDS), index_path(path), epoch)
+            ledger.append(upload_rejects(refused), rejects_path(path), epoch)
+        finally:
+            judged.unpersist()
 
     if not _exists(spark, path):
         ledger.create(spark, path, LEDGER)
+    if not _exists(spark, index_path(path)):
+        applied = ledger.read(spark, path).filter(has_ids())
+        last = applied.agg(F.max("epoch")).head()[0]
+        if last is not None:
+            id_index.build(applied, index_path(path), last)
     writer = lines.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
@@ -95,21 +123,28 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 _TABLES = {"global_stats": upload_global, "length_stats": upload_length_rows, "word_pos_stats": upload_word_rows}
+# The order in which rows are applied, for tables where the last value of a column stands.
+_APPLIED = {"length_stats": ["epoch", *ARRIVAL, *PLACE]}
 
 
 def stored_tables(uploads: DataFrame, snapshot: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """Daily totals, length and word tables of a ledger of documents (K1 to K3).
 
-    With a ``snapshot`` of the same tables, ``uploads`` are the documents applied after it.
+    Documents are applied as they arrived, rows as they stand in a document. With a ``snapshot`` of the same tables,
+    ``uploads`` are the documents applied after it.
     """
-    numbered = uploads.withColumn("seq", F.col("epoch").cast("bigint"))
     tables = {}
     for name, rows in _TABLES.items():
-        changes = rows(numbered, "seq", "applied_at")
+        order = _APPLIED.get(name, ["epoch"])
+        if order == ["epoch"]:
+            changes = rows(uploads, "epoch", "applied_at")
+        else:
+            changes = rows(uploads, "epoch", *ARRIVAL, "applied_at", placed=True)
+        changes = changes.withColumn("epoch", F.col("epoch").cast("bigint"))
         if snapshot:
-            before = snapshot[name].withColumnRenamed("updated_at", "applied_at")
-            changes = changes.unionByName(before.withColumn("seq", F.lit(-1).cast("bigint")))
-        tables[name] = fold(changes, POLICIES[name])
+            before = snapshot[name].withColumnRenamed("updated_at", "applied_at").withColumn("epoch", F.lit(-1).cast("bigint"))
+            changes = changes.unionByName(before, allowMissingColumns=True)
+        tables[name] = fold(changes, POLICIES[name], order)
     return tables
 
 
@@ -130,6 +165,18 @@ def tables_since(spark: SparkSession, path: str, snapshot: str, upto: int) -> di
     return stored_tables(later, {name: spark.read.parquet(f"{snapshot}/{name}") for name in _TABLES})
 
 
+def reset_in_place(spark: SparkSession, path: str) -> None:
+    """Empty the ledger and forget its applied ids, where they are (K14). The run log and the dimensions are elsewhere and stay.
+
+    A stopped intake goes on with its checkpoint: only documents that arrive from then on count. Stop it first; a
+    reader that has the old files open fails and has to read again.
+    """
+    for folder in (path, rejects_path(path)):
+        id_index.clear(spark, folder)
+    ledger.create(spark, path, LEDGER)
+    id_index.clear(spark, index_path(path))
+
+
 def reset_statistics(spark: SparkSession, path: str) -> str:
     """Start over with an empty ledger beside the old one, and return its path.
 
