@@ -1,14 +1,17 @@
 from __future__ import annotations
 
+import csv
 import json
+import random
 
 from conftest import rows
+from pyspark.sql import functions as F
 
 from zonetide.operators.upsert import POLICIES, prepare
 from zonetide.plans.jobs import build_corpus, build_dictionary, build_tld_dimension, corpus_from_files, ingest_registrar_reports
 from zonetide.plans.ledger import export_words
 from zonetide.sources import batches, captures, companies, lists
-from zonetide.sources.registrar_reports import read_registrar_reports, resolve_header
+from zonetide.sources.registrar_reports import cell_count, header_positions, read_registrar_reports
 
 
 def lines(spark, *values):
@@ -47,10 +50,57 @@ def test_dictionary(spark, tmp_path):
     assert [r.value for r in spark.read.text(out).collect()] == ["café", "run", "tree"]
 
 
-def test_header_hints():
-    found = resolve_header(["Registrar Name", " IANA-ID", "TLD", "Net Adds 1-Year", "Net Adds 2-Year"])
+def resolve_header(spark, headers):
+    df = spark.createDataFrame([(headers,)], "cells array<string>")
+    found = df.select(*[p.alias(f) for f, p in header_positions(F.col("cells")).items()]).head()
+    return {f: p for f, p in found.asDict().items() if p is not None}
+
+
+def test_header_hints(spark):
+    found = resolve_header(spark, ["Registrar Name", " IANA-ID", "TLD", "Net Adds 1-Year", "Net Adds 2-Year"])
     assert found == {"iana_id": 1, "registrar_name": 0, "tld": 2, "net_adds": 3}
-    assert "tld" not in resolve_header(["iana id", "name"])
+    assert "tld" not in resolve_header(spark, ["iana id", "name", None])
+
+
+def test_cell_count(spark):
+    records = {"a,b": 2, "": 1, '"a,b",c': 2, '"a""b,c""",,': 3, '"x\ny",1': 2, ",".join(['"q,q"'] * 20_000): 20_000}
+    df = spark.createDataFrame([(r,) for r in records], "r string")
+    assert {r.r: r.n for r in df.select("r", cell_count(F.col("r")).alias("n")).collect()} == records
+
+
+def test_registrar_reports_in_one_scan(spark, tmp_path):
+    rng = random.Random(8)
+    want = []
+    for n in range(30):
+        month = f"20{10 + n // 12}-{n % 12 + 1:02d}"
+        extra = [f"Note {k}" for k in range(rng.randrange(4))]
+        header = ["Registrar\nName", "IANA ID", "TLD", "Net Adds", "renewals", *extra]
+        rng.shuffle(header)
+        with open(tmp_path / f"r-{month}-en.csv", "w", newline="") as file:
+            out = csv.writer(file)
+            out.writerow(header)
+            for i in range(40):
+                row = {"Registrar\nName": rng.choice(["A, Inc.", 'the "B"', "two\nlines\n", "", "plain"]), "IANA ID": str(i + 1), "TLD": rng.choice([".com", "net", ""]), "Net Adds": rng.choice(["1,234", "", "x", "7"]), "renewals": str(n)}
+                cells = [row.get(h, rng.choice(["", "a,b", "line\nbreak", "long " * 2000])) for h in header]
+                short, long = rng.random() < 0.1, rng.random() < 0.2
+                cells = cells[:-1] if short else cells + ['more "quoted", cells'] * (300 * long)
+                out.writerow(cells)
+                if not short and row["TLD"]:
+                    want.append((month, i + 1, row["TLD"].lstrip("."), {"1,234": 1234, "7": 7}.get(row["Net Adds"], 0), n))
+    (tmp_path / "r-2001-01-en.csv").write_text("")
+    (tmp_path / "r-2001-02-en.csv").write_text("IANA ID,other\n1,2\n")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("reports", "")
+    found = read_registrar_reports(spark, str(tmp_path))
+    got = found.select("report_month", "iana_id", "tld", "net_adds", "renewals").collect()
+    jobs = len(tracker.getJobIdsForGroup("reports"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert jobs < 12
+    # files of other months aren't opened: a file that can't be read does no harm
+    (tmp_path / "r-2030-01-en.csv.gz").write_bytes(b"no gzip")
+    some = read_registrar_reports(spark, str(tmp_path), ["2010-03", "2011-01"])
+    assert sorted(map(tuple, some.select("report_month", "iana_id", "tld", "net_adds", "renewals").collect())) == sorted(w for w in want if w[0] in ("2010-03", "2011-01"))
 
 
 def test_registrar_reports(spark, tmp_path):

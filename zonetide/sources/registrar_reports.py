@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.fixed import REPORT_COLUMN_HINTS
 from ..functions.numbers import integer_or_null, report_number
-from ..functions.text import report_tld
+from ..functions.text import report_tld, strip
+from ..session import scratch_path
 
 MEASURES = ["net_adds", "renewals", "transfers", "deletes", "domains_under_mgmt"]
 SCHEMA = T.StructType(
@@ -21,64 +19,47 @@ SCHEMA = T.StructType(
         T.StructField("source_url", T.StringType()),
     ]
 )
-# A comma outside double quotes.
-_CELL_BREAK = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 MONTH_IN_NAME = r"(\d{4}-\d{2})[^/]*$"
+_CSV = {"header": "false", "multiLine": "true", "escape": '"', "columnPruning": "false", "columnNameOfCorruptRecord": "_raw"}
+
+
+def header_positions(cells: Column) -> dict[str, Column]:
+    """Field -> 0-based position of the first header cell that holds one of the field's hints, null if there is none."""
+    cleaned = F.transform(cells, lambda c: F.lower(strip(F.coalesce(c, F.lit("")))))
+
+    def position(hints: tuple[str, ...]) -> Column:
+        hit = F.transform(cleaned, lambda c: F.exists(F.array(*[F.lit(h) for h in hints]), lambda h: F.contains(c, h)))
+        return F.nullif(F.array_position(hit, True), F.lit(0)) - 1
 
+    return {field: position(tuple(hints)) for field, hints in REPORT_COLUMN_HINTS.items()}
 
-def resolve_header(headers: list[str]) -> dict[str, int]:
-    """Field -> position of the first column whose header holds one of the field's hints."""
-    cleaned = [h.strip().lower() for h in headers]
-    found = {}
-    for field, hints in REPORT_COLUMN_HINTS.items():
-        hits = [pos for pos, header in enumerate(cleaned) if any(h in header for h in hints)]
-        if hits:
-            found[field] = hits[0]
-    return found
 
+def cell_count(record: Column) -> Column:
+    """Cells of a CSV record as it stands in the file: commas outside of quotes, and one more."""
+    bare = F.regexp_replace(record, '"[^"]*"', "")  # a doubled quote is two quoted runs side by side
+    return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
 
-def _report_files(
-    spark: SparkSession, path: str | list[str], months: list[str] | None, month_pattern: str
-) -> list[str]:
-    """Paths of the report files of the wanted months; lists the folder, reads no content."""
-    listing = spark.read.format("binaryFile").load(path).select("path")
+
+def _records(spark: SparkSession, path: str | list[str], width: int, months: list[str] | None, month_pattern: str) -> DataFrame:
+    """(file, at, n_cells, cells) of every record; at most ``width`` cells are taken apart, quoted line breaks are part of a cell."""
+    names = [f"c{i}" for i in range(width)]
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_raw"]])
+    read = spark.read.schema(schema).options(**_CSV).csv(path)
+    file = F.col("_metadata.file_path")
     if months is not None:
-        listing = listing.filter(F.regexp_extract("path", month_pattern, 1).isin(months))
-    return [r.path for r in listing.orderBy("path").collect()]
-
-
-def _read_alike(spark: SparkSession, paths: list[str], headers: list[str], month_pattern: str) -> DataFrame:
-    """All files that share one header, in one scan."""
-    fields = resolve_header(headers)
-    names = [f"c{i}" for i in range(len(headers))]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_bad"]])
-    cells = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("enforceSchema", True)
-        .option("escape", '"')
-        .option("columnPruning", False)
-        .option("columnNameOfCorruptRecord", "_bad")
-        .csv(paths)
-    )
-    # A row with more cells than the header is kept, one with fewer is not.
-    whole = F.col("_bad").isNull() | (F.size(F.split("_bad", _CELL_BREAK, -1)) >= len(headers))
-
-    def cell(field: str):
-        return F.col(names[fields[field]]) if field in fields else F.lit(None).cast("string")
-
-    source = F.col("_metadata.file_path")
-    return (
-        cells.filter(whole)
-        .select(
-            F.regexp_extract(source, month_pattern, 1).alias("report_month"),
-            integer_or_null(cell("iana_id")).alias("iana_id"),
-            report_tld(cell("tld")).alias("tld"),
-            *[report_number(cell(m)).alias(m) for m in MEASURES],
-            source.alias("source_url"),
-        )
-        .filter(F.col("iana_id").isNotNull() & (F.col("tld") != ""))
-    )
+        # a condition on the file's name: files of other months aren't opened
+        read = read.filter(F.regexp_extract(file, month_pattern, 1).isin(months))
+    # a record with another number of cells comes with its text
+    n_cells = F.when(F.col("_raw").isNull(), F.lit(width)).otherwise(cell_count(F.col("_raw")))
+    return read.select(file.alias("file"), F.monotonically_increasing_id().alias("at"), n_cells.alias("n_cells"), F.array(*names).alias("cells"), "_raw")
+
+
+def _headers(spark: SparkSession, path: str | list[str], months: list[str] | None, month_pattern: str) -> DataFrame:
+    """(file, header, n_header) from the first record of each file: its text, if it has more than one cell."""
+    records = _records(spark, path, 1, months, month_pattern)
+    first = records.groupBy("file").agg(F.min_by(F.struct("_raw", "cells", "n_cells"), "at").alias("r"))
+    text = F.coalesce("r._raw", F.get("r.cells", F.lit(0)), F.lit(""))
+    return first.select("file", text.alias("header"), F.col("r.n_cells").alias("n_header"))
 
 
 def read_registrar_reports(
@@ -89,19 +70,28 @@ def read_registrar_reports(
 ) -> DataFrame:
     """Rows of all report files under ``path``; the month comes from the file name.
 
-    Only the header line of each file is looked at while planning. Files with the same
-    header are read by one scan, so a backfill costs as many scans as there are header
-    shapes. Files without an IANA id and a TLD column give no rows.
+    All files are read by one scan, cells by position; what a position means comes from the first record of
+    the row's file, which a scan before finds. So there are as many jobs for a thousand files as for one. A record is kept
+    if it has at least as many cells as its header. Files without an IANA id and a TLD column give no rows.
     """
-    by_header: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for file in _report_files(spark, path, months, month_pattern):
-        headers = spark.read.option("header", True).option("escape", '"').csv(file).columns
-        by_header[tuple(headers)].append(file)
-    parts = [
-        _read_alike(spark, files, list(headers), month_pattern)
-        for headers, files in by_header.items()
-        if {"iana_id", "tld"} <= resolve_header(list(headers)).keys()
-    ]
-    if not parts:
+    home = scratch_path(spark, "report-headers")
+    _headers(spark, path, months, month_pattern).write.parquet(home)
+    headers = spark.read.parquet(home)
+    width = headers.agg(F.max("n_header")).head()[0]
+    if width is None:
         return spark.createDataFrame([], SCHEMA)
-    return reduce(DataFrame.unionByName, parts)
+    cells = F.from_csv("header", ", ".join(f"c{i} string" for i in range(width)), {"escape": '"', "multiLine": "true"})
+    parsed = headers.withColumn("h", cells)
+    at = header_positions(F.array(*[F.col(f"h.c{i}") for i in range(width)]))
+    wanted = ["iana_id", "tld", *MEASURES]
+    shapes = parsed.select(F.col("file").alias("of"), "n_header", *[at[f].cast("int").alias(f"at_{f}") for f in wanted])
+    shapes = shapes.filter("at_iana_id IS NOT NULL AND at_tld IS NOT NULL")
+    rows = _records(spark, path, width, months, month_pattern).join(shapes, F.col("file") == F.col("of")).filter("n_cells >= n_header")
+    cell = {f: F.get("cells", F.col(f"at_{f}")) for f in wanted}
+    return rows.select(
+        F.regexp_extract("file", month_pattern, 1).alias("report_month"),
+        integer_or_null(cell["iana_id"]).alias("iana_id"),
+        report_tld(cell["tld"]).alias("tld"),
+        *[report_number(cell[m]).alias(m) for m in MEASURES],
+        F.col("file").alias("source_url"),
+    ).filter(F.col("iana_id").isNotNull() & (F.col("tld") != ""))
