@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 from conftest import rows
 
@@ -122,7 +123,7 @@ def test_run_log_over_micro_batches(spark, tmp_path):
     inbox, log = str(tmp_path / "in"), str(tmp_path / "log")
     for step in steps:
         spark.createDataFrame(step, schema).coalesce(1).write.mode("append").parquet(inbox)
-        stream = spark.readStream.schema(schema).parquet(inbox)
+        stream = runs.state_session(spark.newSession()).readStream.schema(schema).parquet(inbox)
         runs.keep_runs(stream, log, str(tmp_path / "ck")).awaitTermination()
     assert rows(runs.run_log(spark, log).select("run_id", "finished_at", "status", "domains_processed", "notes")) == [
         ("a", "t5", "failed", 9, "why"), ("b", None, "running", 0, None),
@@ -201,3 +202,34 @@ def test_intake_after_many_epochs(spark, tmp_path, monkeypatch):
     id_index.clear(spark, uploads.index_path(store))
     put(tmp_path / "in", "9.json", document("r", "3", 50), document("r", "9", 1))
     assert rows(take_in(spark, tmp_path)["global_stats"].drop("updated_at")) == [("2026-01-01", 7, 7)]
+
+
+RUN_EVENT = "seq bigint, ts string, run_id string, event string, status string, domains_processed string, errors_count string, source string, notes string"
+
+
+def _run_batch(spark, tmp_path, events, idle="7 days"):
+    spark.createDataFrame(events, RUN_EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = runs.state_session(spark.newSession()).readStream.schema(RUN_EVENT).parquet(str(tmp_path / "in"))
+    query = runs.keep_runs(stream, str(tmp_path / "log"), str(tmp_path / "ck"), idle=idle)
+    query.awaitTermination()
+
+
+def test_finished_and_idle_runs_leave_the_state(spark, tmp_path):
+    def event(seq, run, kind, done=None, status=None, notes=None):
+        return (seq, f"t{seq}", run, kind, status, done, None, "s", notes)
+
+    _run_batch(spark, tmp_path, [event(k, f"r{k}", "start") for k in range(300)], idle="2 seconds")
+    time.sleep(3)
+    # all but a few finish; those few are closed, as nothing came of them
+    _run_batch(spark, tmp_path, [event(1000 + k, f"r{k}", "finish", str(k), "failed" if k % 2 else None) for k in range(5, 300)] + [event(2000, "new", "start")], idle="2 seconds")
+    log = str(tmp_path / "log")
+    assert {r.run_id for r in runs.closed_runs(spark, log).collect()} == {f"r{k}" for k in range(5)}
+    held = spark.read.format("statestore").option("stateVarName", "facts").load(str(tmp_path / "ck"))
+    assert {r.key.run_id for r in held.collect()} == {"new"}
+    # what comes late is merged from the log: nothing is lost with the state
+    _run_batch(spark, tmp_path, [event(3000, "r1", "finish", "7", "partial", "late"), event(3001, "r2", "heartbeat", "9"), event(3002, "r9", "heartbeat", "8"), event(1, "new", "start")], idle="2 seconds")
+    found = {r.run_id: (r.started_at, r.finished_at, r.status, r.domains_processed, r.notes) for r in runs.run_log(spark, log).collect()}
+    assert len(found) == 301
+    assert found["r1"] == ("t1", "t3000", "partial", 7, "late") and found["r2"] == ("t2", None, "running", 9, None)
+    assert found["r9"] == ("t9", "t1009", "failed", 8, None) and found["r8"] == ("t8", "t1008", "success", 8, None)
+    assert found["new"][0] == "t1" and {r.run_id for r in runs.closed_runs(spark, log).collect()} == {"r0", "r3", "r4"}

@@ -20,25 +20,38 @@ def clean_events(events: DataFrame) -> DataFrame:
     )
 
 
-def fold_runs(events: DataFrame) -> DataFrame:
-    """One row per started run, from cleaned events with an arrival ``seq`` and ``ts``.
+# What is known of a run, each with the place in the order of arrival that it comes from: the first start, the last counts, the
+# last finish, the last notes of a finish. Parts of a run's events have facts that merge in any order.
+FACTS = (
+    "s struct<seq: bigint, ts: string, source: string, notes: string>, c struct<seq: bigint, domains_processed: bigint, errors_count: bigint>, "
+    "f struct<seq: bigint, ts: string, status: string>, n struct<seq: bigint, notes: string>"
+)
 
-    The first start makes the run; heartbeats and finishes count only after it. As the last
-    such event is after the start whenever any is, first and last events are all that is
-    needed: plain aggregates, which fold map-side and work the same on a stream.
-    """
+
+def run_facts(events: DataFrame) -> DataFrame:
+    """(run_id, s, c, f, n) from cleaned events with an arrival ``seq`` and ``ts``."""
     is_start = F.col("event") == "start"
     is_finish = F.col("event") == "finish"
 
     def last(condition: Column, *fields: str) -> Column:
         return F.max_by(F.struct("seq", *fields), F.when(condition, F.col("seq")))
 
-    facts = events.groupBy("run_id").agg(
+    return events.groupBy("run_id").agg(
         F.min_by(F.struct("seq", "ts", "source", "notes"), F.when(is_start, F.col("seq"))).alias("s"),
         last(~is_start, "domains_processed", "errors_count").alias("c"),
         last(is_finish, "ts", "status").alias("f"),
         last(is_finish & F.col("notes").isNotNull(), "notes").alias("n"),
     )
+
+
+def merge_facts(facts: DataFrame) -> DataFrame:
+    """One row per run from the facts of any parts of its events."""
+    latest = [F.max_by(name, F.col(f"{name}.seq")).alias(name) for name in ("c", "f", "n")]
+    return facts.groupBy("run_id").agg(F.min_by("s", F.col("s.seq")).alias("s"), *latest)
+
+
+def runs_of(facts: DataFrame) -> DataFrame:
+    """One row per started run. The first start makes the run; heartbeats and finishes count only after it."""
     started = facts.filter(F.col("s").isNotNull())
 
     def after_start(part: str, name: str) -> Column:
@@ -57,6 +70,15 @@ def fold_runs(events: DataFrame) -> DataFrame:
     )
 
 
+def fold_runs(events: DataFrame) -> DataFrame:
+    """One row per started run, from cleaned events with an arrival ``seq`` and ``ts``.
+
+    As the last heartbeat or finish is after the start whenever any is, first and last events are all that is
+    needed: plain aggregates, which fold map-side and work the same on a stream.
+    """
+    return runs_of(run_facts(events))
+
+
 def latest_run(runs: DataFrame) -> DataFrame:
     """The run that finished, or else started, last; none gives no row. Ties go to the higher id."""
     at = F.coalesce("finished_at", "started_at")

@@ -69,6 +69,7 @@ def stream_run_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     inbox = f"{home}/inbox"
     run_events(table(spark, sf_dir, "events")).repartition(3).write.parquet(inbox)
     schema = spark.read.parquet(inbox).schema
-    stream = stream_session(spark).readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    session = run_stream.state_session(stream_session(spark))
+    stream = session.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(inbox)
     run_stream.keep_runs(stream, f"{home}/log", f"{home}/checkpoint").awaitTermination()
     return run_stream.run_log(spark, f"{home}/log")
