@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ...functions.times import day_of, month_of
 from ...operators import shares, zones
 from ...operators.upsert import POLICIES, fold
-from .. import reports
+from ...session import scratch_path
+from .. import reports, zone_store
 from .registry import query, table
 
 _MEMBERS_SQL = """
@@ -177,16 +178,27 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
+_ZONE_DAYS_SQL = (
     _ZONE_SQL
     + """SELECT days.snap_date, days.tld, registered_total, coalesce(came.n, 0) AS new_today, coalesce(gone.n, 0) AS dropped_today
     FROM days LEFT JOIN came ON came.tld = days.tld AND came.snap_date = days.snap_date
     LEFT JOIN gone ON gone.tld = days.tld AND gone.snap_date = days.snap_date"""
 )
+
+
+@query(_ZONE_DAYS_SQL)
 def zone_diff_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zones.zone_history(snapshots(spark, sf_dir))
 
 
+@query(_ZONE_DAYS_SQL)
+def zone_diff_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from stored days: digests are compared, names only where they differ."""
+    home = scratch_path(spark, "zones")
+    zone_store.store_snapshots(snapshots(spark, sf_dir), home, buckets=4, leaves=64)
+    return zone_store.zone_history(spark, home)
+
+
 @query(
     """WITH a AS (SELECT DISTINCT event_type AS tld, user_id FROM events WHERE ts < TIMESTAMP '2024-01-16'),
     b AS (SELECT DISTINCT event_type AS tld, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-16')
