@@ -130,3 +130,12 @@ def test_report_months():
 
 def test_previous_month(spark):
     assert one(spark, times.previous_month, "2026-01") == "2025-12"
+
+
+def test_large_integers_stay_exact(spark):
+    from zonetide.functions.numbers import number_or_zero
+
+    texts = {"9007199254740993": 9007199254740993, "-9223372036854775808": -(2**63), "1e3": 1000, "12.7": 12, "x": 0, "": 0, " 7 ": 7, "NaN": 0, "99999999999999999999": 0}
+    df = spark.createDataFrame([(k,) for k in texts], "v string")
+    assert {r.v: r.n for r in df.select("v", number_or_zero("v").alias("n")).collect()} == texts
+    assert spark.range(1).select(number_or_zero(F.lit(9007199254740993)).alias("n")).head().n == 9007199254740993

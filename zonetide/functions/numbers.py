@@ -38,10 +38,11 @@ def integer_or_null(value: Column | str) -> Column:
 
 
 def number_or_zero(value: Column | str, kind: str = "bigint") -> Column:
-    """Lenient number: what does not parse, or is missing, counts as 0."""
+    """Lenient number: what does not parse, or is missing, counts as 0. Integers are taken as they are, however large."""
     number = col(value).try_cast("double")
     number = F.when(~F.isnan(number), number)
-    return F.coalesce(number.try_cast(kind), F.lit(0).cast(kind))
+    whole = col(value).cast("string").try_cast(kind) if kind == "bigint" else F.lit(None)
+    return F.coalesce(whole, number.try_cast(kind), F.lit(0).cast(kind))
 
 
 def flag(value: Column | str) -> Column:
