@@ -148,14 +148,15 @@ def cursor_lag(cursors: DataFrame) -> DataFrame:
 # ---- words --------------------------------------------------------------------
 
 
-def word_batch(words: DataFrame, cursor: int, n: int, tlds: list[str] = TRACKED_TLDS) -> DataFrame:
+def word_batch(words: DataFrame, cursor: int, n: int, tlds: list[str] = TRACKED_TLDS, n_words: int | None = None) -> DataFrame:
     """The next ``n`` (word, TLD) pairs from a pair cursor, wrapping at the end.
 
     ``words`` has dense positions (pos, word). A pair number splits into word position and
-    TLD, so the batch is a range joined on the position: no product, no global sort.
+    TLD, so the batch is a range joined on the position: no product, no global sort. ``n_words`` is how many words
+    there are if ``words`` has only those at the positions of the batch.
     """
     spark = words.sparkSession
-    total = words.agg(F.count("*")).scalar()
+    total = words.agg(F.count("*")).scalar() if n_words is None else F.lit(n_words).cast("bigint")
     width = len(tlds)
     pair = F.col("pair")
     names = F.array(*[F.lit(t) for t in tlds])

@@ -8,7 +8,8 @@ from ...functions.fixed import TRACKED_TLDS
 from ...functions.text import SPACES
 from ...operators import aggregates, candidates, dictionary
 from ...operators.positions import with_position
-from ...session import spread_small
+from ...session import scratch_path, spread_small
+from .. import word_index
 from .registry import query, table
 
 _POS = {"en": "noun", "fr": "verb", "de": "adj", "es": "adv"}
@@ -76,7 +77,7 @@ def word_pos_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TLD_ARRAY_SQL = "[" + ", ".join(f"'{t}'" for t in TRACKED_TLDS) + "]"
 
 
-@query(
+_PAIRS_SQL = (
     _TOKENS_SQL
     + f""", p AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS pos FROM (SELECT DISTINCT word FROM w)),
     n AS (SELECT count(*) AS c FROM p),
@@ -84,6 +85,17 @@ _TLD_ARRAY_SQL = "[" + ", ".join(f"'{t}'" for t in TRACKED_TLDS) + "]"
     SELECT pair, word, {_TLD_ARRAY_SQL}[pair % 14 + 1] AS tld, word || '.' || {_TLD_ARRAY_SQL}[pair % 14 + 1] AS domain
     FROM r, n JOIN p ON p.pos = (r.pair // 14) % n.c"""
 )
+
+
+@query(_PAIRS_SQL)
 def word_tld_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = with_position(dictionary.word_union(words(spark, sf_dir)), "word")
     return candidates.word_batch(placed, 1000, 20000)
+
+
+@query(_PAIRS_SQL)
+def stored_word_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same batch from stored words: only the sections it falls into are read."""
+    home = scratch_path(spark, "words")
+    word_index.store_words(words(spark, sf_dir), home, section=1000)
+    return word_index.batch(spark, home, 1000, 20000)
