@@ -366,6 +366,10 @@ class Encoder:
         ids = known.__getitem__
         return [b"".join(map(get, head)) + b"".join(map(ids, rest)) for head, rest in zip(heads, rests)]
 
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as 32-bit integers."""
+        return self.encode_all([text])[0]
+
     def encode_batches(self, texts: pa.Array) -> Iterator[bytes]:
         """Ids of each text; so many texts are merged together as have ``TOGETHER`` characters, or one."""
         some, size = [], 0
