@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import os
 import time
 
 from conftest import rows
@@ -193,6 +194,7 @@ def test_intake_after_many_epochs(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(id_index, "MERGED", 2)
     for n in range(6):
         put(tmp_path / "in", f"{n}.json", document("r", str(n), 1), document("r", str(max(0, n - 3)), 100))
+        os.utime(tmp_path / "in" / f"{n}.json", (1_700_000_000 + n, 1_700_000_000 + n))  # files arrive in this order
     store = str(tmp_path / "stats/v1")
     for _ in range(2):
         stream = uploads.read_uploads(spark, str(tmp_path / "in"), files_per_batch=1)
@@ -201,6 +203,7 @@ def test_intake_after_many_epochs(spark, tmp_path, monkeypatch):
     # a ledger whose index is gone is indexed anew
     id_index.clear(spark, uploads.index_path(store))
     put(tmp_path / "in", "9.json", document("r", "3", 50), document("r", "9", 1))
+    os.utime(tmp_path / "in" / "9.json", (1_700_000_009, 1_700_000_009))
     assert rows(take_in(spark, tmp_path)["global_stats"].drop("updated_at")) == [("2026-01-01", 7, 7)]
 
 
