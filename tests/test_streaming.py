@@ -8,7 +8,7 @@ from conftest import rows
 
 from zonetide.plans import id_index, ledger
 from zonetide.sources.batches import parse_uploads
-from zonetide.streaming import runs, uploads
+from zonetide.streaming import runs, totals, uploads
 
 
 def document(run, batch, n, date="2026-01-01"):
@@ -236,3 +236,46 @@ def test_finished_and_idle_runs_leave_the_state(spark, tmp_path):
     assert found["r1"] == ("t1", "t3000", "partial", 7, "late") and found["r2"] == ("t2", None, "running", 9, None)
     assert found["r9"] == ("t9", "t1009", "failed", 8, None) and found["r8"] == ("t8", "t1008", "success", 8, None)
     assert found["new"][0] == "t1" and {r.run_id for r in runs.closed_runs(spark, log).collect()} == {"r0", "r3", "r4"}
+
+
+def _late_stream(spark, home, steps):
+    """Documents of each step as one file, in order of arrival."""
+    for n, step in enumerate(steps):
+        docs = [document(f"r{n}", str(i), value, date) for i, (date, value) in enumerate(step)]
+        put(home / "in", f"{n}.json", *docs)
+        os.utime(home / "in" / f"{n}.json", (1_700_000_000 + n, 1_700_000_000 + n))
+    lines = spark.readStream.option("maxFilesPerTrigger", 1).text(str(home / "in"))
+    return parse_uploads(lines).filter("valid")
+
+
+def test_late_rows_add_to_sealed_dates(spark, tmp_path):
+    days = [f"2026-01-{d:02d}" for d in range(1, 15)]
+    steps = [[(day, n + 1), (days[max(n - 10, 0)], 100), (day, 1)] for n, day in enumerate(days)]
+    steps[7].append(("no date", 5))
+    steps[9].append(("no date", 6))
+    store = str(tmp_path / "totals")
+    totals.create(spark, store)
+    assert rows(totals.totals(spark, store)) == []
+    totals.keep_totals(_late_stream(spark, tmp_path, steps), store, str(tmp_path / "ck"), open_days=2).awaitTermination()
+    want = {}
+    for step in steps:
+        for day, n in step:
+            want[day] = want.get(day, 0) + n
+    assert rows(totals.totals(spark, store)) == sorted((d, n, n) for d, n in want.items())
+    assert [r[0] for r in rows(totals.open_dates(spark, store))] == days[-3:]  # state has the open dates only
+    assert sorted(os.listdir(f"{store}/open")) == ["epoch=12", "epoch=13"]
+
+
+def test_sealed_totals_survive_retries_and_folds(spark, tmp_path):
+    schema = "date string, global struct<domains_tracked_lifetime string, domains_tracked_24h string>"
+    steps = [[("2026-01-01", ("3", "1"))], [("2026-01-09", ("4", "1")), ("2026-01-01", ("5", "1"))], [(None, ("1", "1")), ("2026-01-02", ("7", "1"))], [("2026-01-08", ("2", "1"))]]
+    store = str(tmp_path / "totals")
+    totals.create(spark, store)
+    for epoch, step in enumerate(steps):
+        for _ in range(2):  # every micro-batch is tried twice
+            totals.apply_batch(spark.createDataFrame(step, schema), store, epoch, open_days=3, fold_every=2)
+    want = sorted([("2026-01-01", 8, 2), ("2026-01-09", 4, 1), (None, 1, 1), ("2026-01-02", 7, 1), ("2026-01-08", 2, 1)], key=repr)
+    assert rows(totals.totals(spark, store)) == want
+    assert rows(totals.open_dates(spark, store)) == [("2026-01-08", 2, 1), ("2026-01-09", 4, 1)]
+    totals.fold(spark, store, 2)
+    assert rows(totals.totals(spark, store)) == want

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ...functions.times import day_of, month_of
-from ...operators import shares, zones
+from ...operators import attribution, shares, zones
 from ...operators.upsert import POLICIES, fold
 from ...session import scratch_path
 from .. import reports, zone_store
+from .documents import rdap_answers
 from .registry import query, table
 
 _MEMBERS_SQL = """
@@ -199,6 +200,37 @@ def zone_diff_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zone_store.zone_history(spark, home)
 
 
+# Sampled names per TLD and month; more come anew in a month, so the estimates have an error.
+_KEPT = 12
+
+
+@query(
+    _ZONE_SQL
+    + f""", fresh AS (SELECT DISTINCT d.tld, substr(d.snap_date, 1, 7) AS month, 'customer-' || z.domain || '.com' AS domain FROM days d JOIN z ON z.tld = d.tld AND z.snap_date = d.snap_date
+        WHERE d.prior IS NOT NULL AND NOT EXISTS (SELECT 1 FROM z y WHERE y.tld = d.tld AND y.snap_date = d.prior AND y.domain = z.domain)),
+    placed AS (SELECT *, CAST('0x' || substr(md5(domain), 1, 12) AS BIGINT) AS p FROM fresh),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY tld, month ORDER BY p, domain) AS r FROM placed),
+    kept AS (SELECT k.*, coalesce((t.p + 0.5::DOUBLE) / 281474976710656::DOUBLE, 1) AS chance FROM ranked k
+      LEFT JOIN ranked t ON t.tld = k.tld AND t.month = k.month AND t.r = {_KEPT + 1} WHERE k.r <= {_KEPT}),
+    verdicts AS (SELECT 'customer-' || o_custkey || '.com' AS domain,
+        arg_min(CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 4 <> 1 THEN o_orderkey END IS NOT NULL, o_orderkey) AS named
+      FROM orders WHERE o_orderkey % 5 IN (0, 1, 2) GROUP BY 1),
+    each AS (SELECT tld, month, coalesce(named, false) AS attributed, count(*) AS n, min(chance) AS chance FROM kept LEFT JOIN verdicts v ON v.domain = kept.domain GROUP BY ALL)
+    SELECT tld, month, attributed, CAST(n AS BIGINT) AS sampled, round(n / chance, 6) AS estimate, round(sqrt(n * (1 - chance)) / chance, 6) AS error FROM each"""
+)
+def attribution_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that came to a zone in a month, by whether RDAP names their registrar: estimated from a sample that is drawn in two parts."""
+    home = scratch_path(spark, "attribution")
+    zone_store.store_snapshots(snapshots(spark, sf_dir), home, buckets=4, leaves=64)
+    came = zone_store.changed_names(spark, home).filter("now")
+    names = came.select("tld", F.substring("day", 1, 7).alias("month"), F.concat(F.lit("customer-"), "domain", F.lit(".com")).alias("domain"), "day")
+    halves = [attribution.bottom_k(names.filter(side), _KEPT) for side in (F.col("day") < "2024-01-16", F.col("day") >= "2024-01-16")]
+    kept = attribution.weighted(attribution.merge(halves, _KEPT), _KEPT)
+    found = attribution.attributed(kept, rdap_answers(spark, sf_dir)).withColumn("attributed", F.col("registrar_iana_id").isNotNull())
+    out = attribution.estimates(found, "attributed")
+    return out.withColumns({c: F.round(c, 6) for c in ("estimate", "error")})
+
+
 @query(
     """WITH a AS (SELECT DISTINCT event_type AS tld, user_id FROM events WHERE ts < TIMESTAMP '2024-01-16'),
     b AS (SELECT DISTINCT event_type AS tld, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-16')

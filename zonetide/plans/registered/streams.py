@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ...functions.times import day_of
 from ...session import scratch_path, stream_session
 from ...streaming import runs as run_stream
+from ...streaming import totals as total_stream
 from ...streaming import uploads as upload_stream
 from .. import ledger
 from .registry import query, table
@@ -41,18 +42,22 @@ def stream_upload_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.drop("updated_at")
 
 
-@query(
-    """SELECT strftime(o_orderdate, '%Y-%m-%d') AS date, CAST(sum(o_custkey) AS BIGINT) AS domains_tracked_lifetime,
+_TOTALS_SQL = """SELECT strftime(o_orderdate, '%Y-%m-%d') AS date, CAST(sum(o_custkey) AS BIGINT) AS domains_tracked_lifetime,
       CAST(count(*) AS BIGINT) AS domains_tracked_24h FROM orders GROUP BY 1"""
-)
-def stream_running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Running totals per day of a stream of orders as upload documents, as of the last micro-batch."""
-    home = scratch_path(spark, "totals")
-    documents = table(spark, sf_dir, "orders").select(
+
+
+def _order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(
         day_of("o_orderdate").alias("date"),
         F.struct(F.col("o_custkey").alias("domains_tracked_lifetime"), F.lit(1).cast("bigint").alias("domains_tracked_24h")).alias("global"),
     )
-    documents.repartition(3).write.parquet(f"{home}/inbox")
+
+
+@query(_TOTALS_SQL)
+def stream_running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running totals per day of a stream of orders as upload documents, as of the last micro-batch."""
+    home = scratch_path(spark, "totals")
+    _order_documents(spark, sf_dir).repartition(3).write.parquet(f"{home}/inbox")
     schema = spark.read.parquet(f"{home}/inbox").schema
     stream = stream_session(spark).readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/inbox")
     writer = upload_stream.running_totals(stream).writeStream.outputMode("update")
@@ -62,6 +67,23 @@ def stream_running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.latest(ledger.read(spark, f"{home}/totals"), "date")
 
 
+@query(_TOTALS_SQL)
+def stream_sealed_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with sealed dates in a ledger: orders of three spans of time arrive in turn, a tenth of each with the span after it."""
+    home = scratch_path(spark, "sealed-totals")
+    documents = _order_documents(spark, sf_dir)
+    late = F.when(F.col("global.domains_tracked_lifetime") % 10 == 0, 1).otherwise(0)
+    span = F.when(F.col("date") < "1997-01-01", 0).when(F.col("date") < "1999-01-01", 1).otherwise(2) + late
+    documents = documents.withColumn("span", span)
+    schema = documents.drop("span").schema
+    total_stream.create(spark, f"{home}/totals")
+    for k in range(4):
+        documents.filter(F.col("span") == k).drop("span").write.mode("append").parquet(f"{home}/inbox")
+        stream = spark.readStream.schema(schema).parquet(f"{home}/inbox")
+        total_stream.keep_totals(stream, f"{home}/totals", f"{home}/checkpoint", open_days=30).awaitTermination()
+    return total_stream.totals(spark, f"{home}/totals")
+
+
 @query(_EVENTS_SQL + "SELECT * FROM runs")
 def stream_run_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The run log of a stream of events, as of its last micro-batch."""
