@@ -10,7 +10,7 @@ from ..functions.text import normalize_domain, strip
 
 
 def read_document(spark: SparkSession, path: str) -> DataFrame:
-    """A file that is one JSON or HTML document; it cannot be split, so it must be small."""
+    """A file that is one JSON or HTML document, read by one task; ``large_documents`` reads long ones by byte ranges."""
     return spark.read.text(path, wholetext=True)
 
 
@@ -19,10 +19,12 @@ def ticker_rows(documents: DataFrame, column: str = "value") -> DataFrame:
 
     Entries that are no objects, or lack ticker, title or CIK, are dropped.
     """
+    return ticker_entries(documents.select(F.posexplode(F.from_json(F.col(column), "map<string,string>")).alias("pos", "key", "entry")))
+
+
+def ticker_entries(entries: DataFrame) -> DataFrame:
+    """(pos, ticker, name, cik) from (pos, entry), an entry being JSON text."""
     entry = F.from_json("entry", "struct<cik_str string, ticker string, title string>")
-    entries = documents.select(
-        F.posexplode(F.from_json(F.col(column), "map<string,string>")).alias("pos", "key", "entry")
-    )
     fields = entries.select("pos", entry.alias("e")).select(
         "pos",
         strip("e.ticker").alias("ticker"),
