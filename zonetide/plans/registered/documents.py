@@ -83,14 +83,20 @@ def attribution_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- index pages ---------------------------------------------------------------------
 
 
-@query(
-    r"""WITH d AS (SELECT replace(upper(replace(html, 'ß', '')), '</A>', '</a>') AS t FROM pages)
+INDEX_TICKERS_SQL = r"""WITH d AS (SELECT replace(upper(replace(html, 'ß', '')), '</A>', '</a>') AS t FROM pages)
     SELECT DISTINCT unnest(regexp_extract_all(t, '>([A-Z][A-Z0-9.\-]{0,5})</a>', 1)) AS ticker FROM d"""
-)
-def index_page_tickers(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+
+def index_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as index pages, their text in upper case so that words of links look like tickers."""
     body = F.replace(F.upper(F.replace("html", F.lit("ß"), F.lit(""))), F.lit("</A>"), F.lit("</a>"))
     wrapped = F.concat(F.lit('<p>><a>NOT</a></p><table class="wikitable sortable">\n'), body, F.lit("</table>"))
-    return companies.index_tickers(table(spark, sf_dir, "pages").select(wrapped.alias("value")))
+    return table(spark, sf_dir, "pages").select(wrapped.alias("value"))
+
+
+@query(INDEX_TICKERS_SQL)
+def index_page_tickers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return companies.index_tickers(index_pages(spark, sf_dir))
 
 
 # ---- row batches: one document of three rows per customer ------------------------------

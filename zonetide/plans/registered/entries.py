@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ...functions.times import day_of
 from ...operators.upsert import POLICIES, prepare
 from ...session import scratch_path
-from ...sources import batches, companies, lists
+from ...sources import batches, companies, large_documents, lists
 from ...sources.registrar_reports import read_registrar_reports
 from ...streaming import uploads
 from .. import ledger, reports
 from .dimensions import _MONTHLY_SQL, monthly
+from .documents import INDEX_TICKERS_SQL, index_pages
 from .registry import query, table
 from .reports import _EVENTS_SQL, _LAST_SQL, _length_table, _word_table, global_stats, run_log
 from .words import _TOKENS_SQL, words
@@ -56,6 +57,50 @@ def override_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return companies.domain_overrides(documents)
 
 
+def _customer_documents(spark: SparkSession, sf_dir: str, member: Column) -> str:
+    """A file a nation, each one JSON object of its customers in the order of their keys; the folder of the files."""
+    path = scratch_path(spark, "customer-documents")
+    customers = table(spark, sf_dir, "customer")
+    nations = customers.select("c_nationkey").distinct()
+    lines = customers.select("c_nationkey", F.lit(1).alias("at"), "c_custkey", F.concat(member, F.lit(",")).alias("value"))
+    for at, text in ((0, "{"), (2, '"end": null}')):
+        lines = lines.unionByName(nations.select("c_nationkey", F.lit(at).alias("at"), F.lit(text).alias("value")), allowMissingColumns=True)
+    files = lines.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "at", "c_custkey")
+    files.select("c_nationkey", "value").write.partitionBy("c_nationkey").text(path)
+    return path
+
+
+@query(
+    """SELECT CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS BIGINT) AS pos, 'T,' || c_custkey AS ticker, 'a "},{' || c_name AS name, CAST(c_custkey AS VARCHAR) AS cik
+    FROM customer QUALIFY c_custkey % 7 <> 0"""
+)
+def ticker_document_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of a nation as one long ticker document, read by byte ranges; some entries are no objects."""
+    number = F.col("c_custkey").cast("string")
+    entry = F.to_json(F.struct(number.alias("cik_str"), F.concat(F.lit("T,"), number).alias("ticker"), F.concat(F.lit('a "},{'), "c_name").alias("title")))
+    member = F.concat(F.lit('"'), number, F.lit('": '), F.when(F.col("c_custkey") % 7 == 0, "[1, {}]").otherwise(entry))
+    return large_documents.ticker_rows(spark, _customer_documents(spark, sf_dir, member))
+
+
+@query(
+    """SELECT 'key-' || c_custkey % 1000 AS key, arg_max('www,c' || c_custkey || '.com', (CAST(c_nationkey AS VARCHAR) || '/', c_custkey)) AS domain FROM customer GROUP BY 1
+    UNION ALL SELECT 'end', NULL"""
+)
+def override_document_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of a nation as one long document of overrides; the last of equal keys stands."""
+    number = F.col("c_custkey").cast("string")
+    member = F.concat(F.lit('"KEY-'), (F.col("c_custkey") % 1000).cast("string"), F.lit('":"WWW,C'), number, F.lit('.Com"'))
+    return large_documents.domain_overrides(spark, _customer_documents(spark, sf_dir, member))
+
+
+@query(INDEX_TICKERS_SQL)
+def index_page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages below each other as long index pages, read by byte ranges."""
+    path = scratch_path(spark, "index-pages")
+    index_pages(spark, sf_dir).write.text(path)
+    return large_documents.index_tickers(spark, path)
+
+
 @query("SELECT o_orderpriority || ' ' || o_orderkey AS word FROM orders WHERE o_orderkey % 5 <> 0")
 def word_list_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as lines of a word file, with white space around them; some lines are blank."""
