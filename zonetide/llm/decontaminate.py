@@ -3,11 +3,13 @@
 A benchmark item is cut into windows of 13 words (a shorter item is one window), a window into shingles of up to five
 words. A document holds a window only if it holds all its shingles, so one of them is a sufficient prefix: the rarest, by
 count over the benchmark's windows, an order that is known before a document is read. Documents meet prefixes alone; the position of a
-prefix in its window says where the window has to start and that it has to end inside the text. Only documents with such a start
-are cut again, and their shingles there have to be a window's, one by one and in its order.
+prefix in its window says where the window has to start and that it has to end inside the text, and the document's shingles from there on,
+which its row brings along, have to be a window's, one by one and in its order.
 
-The join of document shingles with prefixes has no hint: what a benchmark needs is stored first, so Spark
-broadcasts it when its true size is under the session's threshold and shuffles otherwise. A shingle that very many
+A bitmap of a fixed size has all prefixes, so that most other shingles of a document are left out inside its own row; what it lets through is
+joined with the prefixes. That join has no hint: what a benchmark needs is stored first, so Spark
+broadcasts it when its true size is under the session's threshold and shuffles otherwise. The larger a benchmark, the more shingles the
+bitmap lets through; the result is the same. A shingle that very many
 documents hold costs rows in proportion to its occurrences, never pairs of documents; all grouping is within one text.
 
 Defined results: null and empty texts have no words, hit nothing and are not contaminated; null or empty items have no
@@ -83,18 +85,36 @@ def _prefixes(windows: DataFrame) -> DataFrame:
     return chosen.select("size", "length", F.col("rarest.shingle").alias("shingle"), F.col("rarest.offset").alias("offset")).distinct()
 
 
-def _spans(wanted: DataFrame, documents: DataFrame, sizes: list[int]) -> DataFrame:
-    """(doc_id, _text, start, length, size, shingles): what the documents have where windows may start; only documents of ``wanted`` are cut."""
-    starts = wanted.groupBy("doc_id", "_text").agg(F.collect_set(F.struct("start", "length", "size")).alias("starts"))
-    starts = starts.select(F.col("doc_id").alias("_wanted_id"), F.col("_text").alias("_wanted_text"), "starts")
-    own = documents.select("doc_id", F.xxhash64("text").alias("_text"), "text")
-    own = own.join(starts, F.col("doc_id").eqNullSafe(F.col("_wanted_id")) & (F.col("_text") == F.col("_wanted_text")))
-    own = own.withColumn("_words", words(F.col("text")))
-    cut = own.select("doc_id", "_text", "starts", *[_hashes(F.col("_words"), s).alias(f"_of{s}") for s in sizes])
-    shingles = lambda x, s: F.slice(F.col(f"_of{s}"), x["start"] + 1, x["length"] - s + 1)
-    span = lambda x: F.coalesce(*[F.when(x["size"] == s, shingles(x, s)) for s in sizes])
-    found = F.transform("starts", lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length"), x["size"].alias("size"), span(x).alias("shingles")))
-    return cut.select("doc_id", "_text", F.inline(found)).distinct()
+def _bitmap(prefixes: DataFrame) -> Column:
+    """Prefix shingles as a bitmap of a fixed size: an array of 2**16 numbers, whatever the benchmark's size."""
+    place = F.pmod(F.col("shingle"), F.lit(64 << 16))
+    rows = prefixes.groupBy(F.floor(place / 64).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))).alias("bits"))
+    known = {r["at"]: r["bits"] for r in rows.collect()}  # at most 2**16 rows
+    return F.split(F.lit(",".join(str(known.get(i, 0)) for i in range(1 << 16))), ",").cast("array<bigint>")
+
+
+def _marked(bitmap: Column, shingle: Column) -> Column:
+    place = F.pmod(shingle, F.lit(64 << 16))
+    return F.getbit(F.get(bitmap, F.shiftright(place, 6).cast("int")), place.bitwiseAND(63).cast("int")) == 1
+
+
+def _candidates(documents: DataFrame, bitmap: Column, sizes: list[int], reach: int) -> DataFrame:
+    """(doc_id, _text, n, size, position, shingle, first, near): shingles that may be prefixes, each with those around it from ``first`` on."""
+    texts = documents.select("doc_id", F.xxhash64("text").alias("_text"), words(F.col("text")).alias("_words"))
+    cut = texts.select("doc_id", "_text", F.size("_words").alias("n"), *[_hashes(F.col("_words"), s).alias(f"_of{s}") for s in sizes])
+
+    def of(size: int) -> Column:
+        own, ahead = F.col(f"_of{size}"), reach if size == max(sizes) else 0
+        numbered = F.transform(own, lambda x, i: F.struct(i.alias("position"), x.alias("shingle")))
+
+        def around(x: Column) -> Column:
+            first = F.greatest(x["position"] - ahead, F.lit(0))
+            near = F.slice(own, first + 1, F.lit(2 * ahead + 1))
+            return F.struct(F.lit(size).alias("size"), x["position"].alias("position"), x["shingle"].alias("shingle"), first.alias("first"), near.alias("near"))
+
+        return F.transform(F.filter(numbered, lambda x: _marked(bitmap, x["shingle"])), around)
+
+    return cut.select("doc_id", "_text", "n", F.inline(F.concat(*[of(s) for s in sizes])))
 
 
 def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, shingle: int = SHINGLE_WORDS) -> DataFrame:
@@ -104,16 +124,13 @@ def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS,
     windows = stored(_windows(items, sizes, window, shingle), "benchmark-windows")
     prefixes = stored(_prefixes(windows), "benchmark-prefixes")
 
-    texts = documents.select("doc_id", F.xxhash64("text").alias("_text"), words(F.col("text")).alias("_words"))
-    met = _placed(texts, ["doc_id", "_text"], sizes).join(prefixes, "shingle").withColumn("position", _position(sizes))
+    # without an item that has words there is nothing to meet
+    met = _candidates(documents, _bitmap(prefixes), sizes or [shingle], window - shingle).join(prefixes, ["shingle", "size"])
     start = F.col("position") - F.col("offset")
-    # the place tells the size of the document's shingle, and the window has to be inside of the text
-    inside = F.col("position").between(0, F.col("n") - F.col("size")) & (start >= 0) & (start + F.col("length") <= F.col("n"))
-    wanted = met.filter(inside).select("doc_id", "_text", start.alias("start"), "length", "size")
-    wanted = stored(wanted, "window-starts")
-    if not sizes:
-        return wanted.select("doc_id", "_text", "start", "length").join(windows.select("item_id"), F.lit(False))
-    return _spans(wanted, documents, sizes).join(windows, ["size", "length", "shingles"]).select("doc_id", "_text", "start", "length", "item_id")
+    inside = met.filter((start >= 0) & (start + F.col("length") <= F.col("n")))
+    span = F.slice("near", start - F.col("first") + 1, F.col("length") - F.col("size") + 1)
+    spans = inside.select("doc_id", "_text", start.alias("start"), "length", "size", span.alias("shingles"))
+    return spans.join(windows, ["size", "length", "shingles"]).select("doc_id", "_text", "start", "length", "item_id")
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
