@@ -121,6 +121,22 @@ def test_contamination(spark):
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_contamination_of_texts_that_begin_or_end_inside_a_window(spark, broadcast):
+    passage = [f"b{i}" for i in range(24)]
+    items = [(1, " ".join(passage)), (2, " ".join(passage[:7])), (3, "x y")]
+    texts = [" ".join(passage[at : at + n] + ["z"] * tail) for at in range(14) for n, tail in [(5, 0), (13, 0), (13, 30), (24, 1)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        got = decontaminate.contamination(docs, bench).sort("doc_id").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert [(r.n_words, r.n_hit, r["items"], r.contaminated) for r in got] == list(_contaminated_plainly(texts, items))
+
+
 def _groups_plainly(rows):
     sets = []
     for _, t in rows:

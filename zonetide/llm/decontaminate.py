@@ -128,7 +128,8 @@ def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS,
     met = _candidates(documents, _bitmap(prefixes), sizes or [shingle], window - shingle).join(prefixes, ["shingle", "size"])
     start = F.col("position") - F.col("offset")
     inside = met.filter((start >= 0) & (start + F.col("length") <= F.col("n")))
-    span = F.slice("near", start - F.col("first") + 1, F.col("length") - F.col("size") + 1)
+    # Spark may take the slice before the filter, so it has to stand for texts that begin inside a window, too
+    span = F.slice("near", F.greatest(start - F.col("first"), F.lit(0)) + 1, F.col("length") - F.col("size") + 1)
     spans = inside.select("doc_id", "_text", start.alias("start"), "length", "size", span.alias("shingles"))
     return spans.join(windows, ["size", "length", "shingles"]).select("doc_id", "_text", "start", "length", "item_id")
 
