@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -37,6 +38,20 @@ def test_ids_and_bytes(spark, reference):
     assert bpe.tokenize(df.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
 
 
+def test_ids_come_in_parts(reference, monkeypatch):
+    monkeypatch.setattr(bpe, "TOGETHER", 40)
+    rng = random.Random(4)
+    texts = TEXTS + ["".join(rng.choice(["ab", " ", "  ", " \n", "é漢", "'s", " the"]) for _ in range(rng.randint(0, 25))) for _ in range(200)]
+    encoder = bpe.Encoder(bpe.parse_ranks(open(PATH, "rb").read()), public_tokenizers.PATTERN)
+    parts = list(encoder.encode_parts(pa.array(texts)))
+    assert [np.frombuffer(ids, "<i4").tolist() for part in parts for ids in part] == [reference.encode_ordinary(t or "") for t in texts]
+    at = 0
+    for part in parts:  # a part is handed back before the next is cut
+        assert len(part) == 1 or sum(len(t or "") for t in texts[at : at + len(part)]) <= 40
+        at += len(part)
+    assert list(encoder.encode_parts(pa.array([], pa.string()))) == [[]]
+
+
 def test_token_histogram(spark):
     rng = random.Random(1)
     lengths = [rng.choice([0, 1, 5, 5, 4096, 5000, 9000, rng.randint(0, 20000)]) for _ in range(500)] + [None]

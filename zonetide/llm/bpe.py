@@ -331,20 +331,22 @@ class Encoder:
         if len(self.young) >= CACHE_ENTRIES:
             self.old, self.young = self.young, {}
         known = self.young
-        heads, rests = [], []
-        for text in texts:
+        heads, missing, entire = [], set(), []
+        for text in texts:  # the parts are not kept but split off again below: as objects they take many times the room of the text
             head, *rest = text.split(" ")
             alone = not rest or (head and not self.space(head[-1]))
             heads.append(self.cut(head if alone else text))
-            rests.append(rest if alone else [])
-        missing = set().union(*rests) - known.keys()
+            entire.append(not alone)
+            if alone:
+                missing.update(rest)
+        missing -= known.keys()
         known.update((part, self.old[part]) for part in missing & self.old.keys())
         cut = {part: self._pieces(part) for part in missing - known.keys()}
         loose = {part for part, own in cut.items() if own is None}
         if loose:
-            for i, rest in enumerate(rests):
-                if not loose.isdisjoint(rest):
-                    heads[i], rests[i] = self.cut(texts[i]), []
+            for i, text in enumerate(texts):
+                if not entire[i] and not loose.isdisjoint(text.split(" ")[1:]):
+                    heads[i], entire[i] = self.cut(text), True
             cut = {part: own for part, own in cut.items() if own is not None}
         pieces: dict[str, bytes] = dict.fromkeys(piece for own in (*cut.values(), *heads) for piece in own)
         todo = []
@@ -364,23 +366,23 @@ class Encoder:
         for part, own in cut.items():
             known[part] = get(own[0]) if len(own) == 1 else b"".join(map(get, own))
         ids = known.__getitem__
-        return [b"".join(map(get, head)) + b"".join(map(ids, rest)) for head, rest in zip(heads, rests)]
+        return [b"".join(map(get, head)) + (b"" if done else b"".join(map(ids, text.split(" ")[1:]))) for head, text, done in zip(heads, texts, entire)]
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as 32-bit integers."""
         return self.encode_all([text])[0]
 
-    def encode_batches(self, texts: pa.Array) -> Iterator[bytes]:
-        """Ids of each text; so many texts are merged together as have ``TOGETHER`` characters, or one."""
+    def encode_parts(self, texts: pa.Array) -> Iterator[list[bytes]]:
+        """Ids of each text, in parts that are merged together: as many texts as have ``TOGETHER`` characters, or one."""
         some, size = [], 0
         for value in texts:
             text = value.as_py() or ""
             if some and size + len(text) > TOGETHER:
-                yield from self.encode_all(some)
+                yield self.encode_all(some)
                 some, size = [], 0
             some.append(text)
             size += len(text)
-        yield from self.encode_all(some)
+        yield self.encode_all(some)
 
     def forget(self) -> None:
         """Give the room of the cache back; a worker outlives its task and would keep it through other stages."""
@@ -417,8 +419,7 @@ class Tokenizer:
         @F.arrow_udf(StructType(fields))
         def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             encoder = _encoder(data.value, pattern)
-            for texts in batches:
-                rows = list(encoder.encode_batches(texts))
+            for rows in (part for texts in batches for part in encoder.encode_parts(texts)):
                 columns = [_lists(rows)]
                 if decoded:
                     columns.append(pa.array([encoder.decode(r) for r in rows], type=pa.binary()))
@@ -434,8 +435,8 @@ class Tokenizer:
         @F.arrow_udf(LongType())
         def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             encoder = _encoder(data.value, pattern)
-            for texts in batches:
-                yield pa.array([len(ids) // 4 for ids in encoder.encode_batches(texts)], type=pa.int64())
+            for rows in (part for texts in batches for part in encoder.encode_parts(texts)):
+                yield pa.array([len(ids) // 4 for ids in rows], type=pa.int64())
             encoder.forget()
 
         return counted(text)
